@@ -148,14 +148,18 @@ def _cut(window: int):
 
 
 def _order(c: str):
-    """A null doc_id is the greatest."""
-    return F.struct(F.col(c).isNull().alias("z"), F.col(c).alias("id"))
+    """A null doc_id counts as the greatest long."""
+    return F.coalesce(F.col(c), F.lit((1 << 63) - 1))
 
 
 def _earlier(nodes: DataFrame, key: str) -> DataFrame:
-    """Nodes with more than one doc_id below, with the least."""
+    """Nodes with more than one doc_id below, with the least, as a table of its own.
+
+    Joined from a table, both sides are dealt out for the join alone, so that the
+    adaptive skew join may split the rows of a frequent node.
+    """
     got = nodes.groupBy(key).agg(F.min(_order("doc_id")).alias("least"), F.max(_order("doc_id")).alias("most"))
-    return got.filter("least < most").select(key, "least")
+    return materialise(got.filter("least < most").select(key, "least"), "nodes")
 
 
 def remove_repeats(
