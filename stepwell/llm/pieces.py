@@ -6,8 +6,8 @@ split on white space, letters, digits and other characters before merging:
 * between an ASCII letter and one of ``.,!?;:()`` (either order): no contraction
   rule, no run of letters and no run of other characters crosses it;
 * ``dropped``: at ASCII white space, for tokenizers that drop it;
-* ``leading``: before one single white-space character between two others, for
-  byte-level tokenizers where it leads the next piece.
+* ``leading``: before one single space or newline between two other characters, and
+  behind such a newline, for byte-level tokenizers where a space leads the next piece.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -24,8 +25,10 @@ _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _POINT = np.zeros(256, bool)
 _POINT[list(b".,!?;:()")] = True
-_BLANK = np.zeros(256, bool)  # bytes that are white space, or may be part of such a character
-_BLANK[list(range(0x09, 0x0E)) + list(range(0x1C, 0x21)) + list(range(0x80, 0x100))] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[list(range(0x09, 0x0E)) + list(range(0x1C, 0x21))] = True
+_WIDE = np.zeros(256, bool)  # first bytes of the white space beyond ASCII, and of much else
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -54,9 +57,15 @@ def leading(buf: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) -> tupl
     buf = buf.copy()
     buf[row_end] = 0  # the newline after each row
     blank = _BLANK[buf]
+    wide = _WIDE[buf]
+    if wide.any():
+        blank |= wide
+        blank[1:] |= wide[:-1]
+        blank[2:] |= wide[:-2]
     one = ((buf == 32) | (buf == 10))[1:-1] & ~blank[:-2] & ~blank[2:] & (buf[:-2] != 0) & (buf[2:] != 0)
     gap = _points(buf)
     gap[:-1] |= one  # gap i lies before byte i + 1
+    gap[1:] |= one & (buf[1:-1] == 10)  # a newline stands alone, only a space leads a piece
     cut = np.flatnonzero(gap) + 1
     wide = np.insert(buf, cut, 0)
     pieces = wide.tobytes().split(b"\0")[:-1]
@@ -75,9 +84,10 @@ def _byte_alphabet() -> dict[int, str]:
 class Vocabulary:
     """A tokenizer with a bounded memory of the pieces it has encoded."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path, self.keep, self.known = path, keep, {}
+        self.path, self.keep = path, keep
+        self.known, self.old = {}, {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -98,47 +108,71 @@ class Vocabulary:
         self.lower = any(x["type"] == "Lowercase" for x in steps)
         self.direct = {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"} and "ByteLevel" in json.dumps(config["pre_tokenizer"])
         self.alphabet, self.merge = _byte_alphabet(), self.tokenizer.model.tokenize
-
-    def _plain(self, text: str) -> bool:
-        """Letters below U+0250, after a space or not: one run for the pre-tokenizer."""
-        core = text[1:] if text[:1] == " " else text
-        return core.isalpha() and max(core) < "\u0250"
-
-    def _merged(self, text: str):
+        self.space = self.alphabet[32]
+
+    def _merged(self, piece: bytes):
+        """Merges of a run of letters below U+0250, after a space or not; None for others."""
+        core = piece[1:] if piece[:1] == b" " else piece
+        if core.isalpha():  # of bytes: ASCII letters, which the byte alphabet leaves as they are
+            text = core.decode()
+            return self.merge((text.lower() if self.lower else text) if core is piece else self.space + text)
+        text = core.decode()
+        if not text.isalpha() or max(text) >= "\u0250":
+            return None
         if self.lower:
             text = unicodedata.normalize("NFC", text.lower())
-        return self.merge(text.encode().decode("latin-1").translate(self.alphabet))
+        text = text.encode().decode("latin-1").translate(self.alphabet)
+        return self.merge(text if core is piece else self.space + text)
 
-    def _each(self, texts: list[str], of_tokens, of_encoding) -> list:
+    def _each(self, pieces: list[bytes], of_tokens, of_encoding) -> list:
         if not self.direct:
-            return [of_encoding(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        out = [of_tokens(self._merged(t)) if self._plain(t) else None for t in texts]
+            return [of_encoding(e) for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        out = [None if t is None else of_tokens(t) for t in map(self._merged, pieces)]
         rest = [i for i, x in enumerate(out) if x is None]
-        got = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False)
         for i, e in zip(rest, got):
             out[i] = of_encoding(e)
         return out
 
+    def piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed uint16 ids of each piece."""
+        if self.model is not None:
+            return [array("H", x).tobytes() for x in self.model.encode([p.decode() for p in pieces], num_threads=1)]
+        return self._each(pieces, lambda x: array("H", [t.id for t in x]).tobytes(), lambda e: array("H", e.ids).tobytes())
+
+    def piece_lengths(self, pieces: list[bytes]) -> list[int]:
+        if self.model is not None:
+            return self.lengths([p.decode() for p in pieces])
+        return self._each(pieces, len, len)
+
     def encode(self, texts: list[str]) -> list[list[int]]:
         if self.model is not None:
             return self.model.encode(texts, num_threads=1)
-        return self._each(texts, lambda x: [t.id for t in x], lambda e: e.ids)
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def lengths(self, texts: list[str]) -> list[int]:
         if self.model is not None:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
-        return self._each(texts, len, len)
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def look_up(self, pieces: list[bytes], make) -> dict:
-        """Results of ``make`` (list of texts -> list of results) for all the pieces."""
+        """Results of ``make`` (list of pieces -> list of results) for all the pieces.
+
+        What was not used since the memory last filled up is forgotten when it fills up again.
+        """
         distinct = set(pieces)
-        if len(self.known) + len(distinct) > self.keep:
-            self.known = {p: self.known[p] for p in distinct if p in self.known}
-        new = [p for p in distinct if p not in self.known]
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.known.update(zip(part, make([p.decode() for p in part])))
-        return self.known
+        known, old = self.known, self.old
+        if len(known) + len(distinct) > self.keep // 2:
+            known, old = {}, known
+            self.known, self.old = known, old
+        missing = [p for p in distinct if p not in known]
+        if old:
+            known.update((p, old[p]) for p in missing if p in old)
+            missing = [p for p in missing if p not in known]
+        for lo in range(0, len(missing), 4096):
+            part = missing[lo : lo + 4096]
+            known.update(zip(part, make(part)))
+        return known
 
 
 _LOADED: dict[tuple[str, str], Vocabulary] = {}

@@ -26,7 +26,7 @@ def count_batch(vocab: pieces.Vocabulary, column: pa.Array, split: bool, fold: b
             continue
         buf, row_start, _ = textbuf.buffer(column, lo, hi)
         words, first = pieces.dropped(buf, row_start, fold)
-        known = vocab.look_up(words, vocab.lengths)
+        known = vocab.look_up(words, vocab.piece_lengths)
         each = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         total = np.concatenate([[0], np.cumsum(each)])
         out.append(total[np.append(first[1:], len(words))] - total[first])

@@ -29,6 +29,7 @@ ROUNDS = 5
 RULES_A_ROUND = 4096
 LEAST = 8
 _TABLE = 1 << 17
+_SPREAD = np.uint32(2654435769)
 FILE_SCHEMA = (
     "shard long, n_tokens long, terminals binary, rules binary, lengths binary, symbols binary, "
     "doc_ids array<long>, uids array<long>, doc_symbols array<int>, doc_tokens array<int>"
@@ -68,8 +69,11 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, rounds: int = ROUNDS) -> Gra
         if room <= 0 or len(seq) < 2:
             break
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        order = np.sort(key[~last[:-1]])
-        first = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]])) if len(order) else np.zeros(0, np.int64)
+        order = np.sort(key)
+        edge = np.empty(len(order), bool)
+        edge[0] = True
+        np.not_equal(order[1:], order[:-1], out=edge[1:])
+        first = np.flatnonzero(edge)
         n = np.diff(np.append(first, len(order)))
         often = np.flatnonzero(n >= LEAST)
         if len(often) == 0:
@@ -78,13 +82,16 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, rounds: int = ROUNDS) -> Gra
             often = often[np.argpartition(-n[often], room - 1)[:room]]
         often = often[np.argsort(n[often], kind="stable")]  # the most frequent is written last
         named = order[first[often]]
-        slot = ((named * np.uint32(2654435769)) >> np.uint32(15)).astype(np.int64)
-        table = np.full(_TABLE, -1, np.int64)
-        table[slot] = np.arange(len(named))  # a slot keeps its most frequent pair
-        rank = table[((key * np.uint32(2654435769)) >> np.uint32(15)).astype(np.int64)]
-        rank[(named[rank] != key) | last[:-1]] = -1
-        wide = np.concatenate([[-1], rank, [-1]])
-        at = np.flatnonzero((rank >= 0) & (rank > wide[:-2]) & (rank >= wide[2:]))
+        table = np.full(_TABLE, -1, np.int32)
+        table[((named * _SPREAD) >> np.uint32(15)).astype(np.intp)] = np.arange(len(named))  # a slot keeps its most frequent pair
+        rank = table.take(((key * _SPREAD) >> np.uint32(15)).astype(np.intp))
+        rank[named.take(rank, mode="wrap") != key] = -1
+        rank[last[:-1]] = -1
+        ahead = np.empty_like(rank)
+        ahead[:-1], ahead[-1] = rank[1:], -1
+        pick = (rank >= 0) & (rank >= ahead)
+        pick[1:] &= rank[1:] > rank[:-1]
+        at = np.flatnonzero(pick)
         used = np.zeros(len(named), bool)
         used[rank[at]] = True
         kept = np.flatnonzero(used)[::-1]
@@ -158,7 +165,7 @@ def _encode(vocab: pieces.Vocabulary, text: pa.Array, lo: int, hi: int, end: int
         rows = [pack(x) + tail for x in vocab.encode([t or "" for t in text.slice(lo, hi - lo).to_pylist()])]
         return b"".join(rows), np.array([len(x) // 2 for x in rows])
     parts, first = cut
-    known = vocab.look_up(parts, lambda texts: [pack(x) for x in vocab.encode(texts)])
+    known = vocab.look_up(parts, vocab.piece_ids)
     got = list(map(known.__getitem__, parts))
     n = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))]) // 2
     edge = np.append(first, len(got))
