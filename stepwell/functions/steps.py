@@ -10,14 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Command words that decide a step's kind.
-READ_VERBS = ["cat", "head", "tail", "less", "more", "nl", "sed", "awk", "wc", "file", "stat", "xxd"]
-WRITE_VERBS = ["tee", "touch", "mkdir", "rm", "mv", "cp", "chmod", "ln", "patch"]
-VERIFY_VERBS = ["pytest", "tox", "make", "python", "python3", "node", "npm", "cargo", "go", "mvn", "gradle"]
-EXPLORE_VERBS = ["ls", "find", "grep", "rg", "tree", "pwd", "which", "git", "du", "df"]
-PREFIX_WORDS = ["sudo", "env", "time", "nohup", "exec"]
-GIT_WRITES = ["add", "apply", "commit", "checkout", "merge", "mv", "push", "rebase", "reset", "restore", "rm", "stash"]
-ERROR_MARKS = ["traceback (most recent call last)", "command not found", "no such file", "permission denied", "syntaxerror", "fatal:"]
+# Which kind of step a command's verb makes.
+READ_VERBS = "cat head tail sed grep rg find ls nl wc file stat awk less more od".split()
+WRITE_VERBS = "rm mv cp mkdir touch chmod chown tee ln truncate install".split()
+VERIFY_VERBS = "go cargo npm npx pytest make mvn gradle python python3 ruby node".split()
+GIT_WRITES = "checkout reset apply add commit stash rm mv init rebase merge".split()
+PREFIX_WORDS = "sudo env time nohup exec".split()
+ERROR_MARKS = [
+    "no such file or directory",
+    "file not found",
+    "command not found",
+    "permission denied",
+    "traceback (most recent call last)",
+    "exception_info:",
+]
 
 
 def bash_command(calls: Column) -> Column:
@@ -32,17 +38,16 @@ def command_segments(command: Column) -> Column:
 
 
 def _segment_verb(segment: Column) -> Column:
-    tokens = F.filter(
-        F.split(segment, r"\s+"),
-        lambda t: ~t.rlike(r"^[A-Za-z_]\w*=") & ~t.isin(PREFIX_WORDS) & (t != ""),
-    )
-    return F.lower(F.regexp_extract(F.coalesce(F.get(tokens, F.lit(0)), F.lit("")), r"([^/]*)$", 1))
+    """Base name of the first word that is no assignment or wrapper; empty for cd."""
+    words = F.filter(F.split(segment, r"\s+"), lambda t: t != "")
+    skip = lambda t: (t.contains("=") & ~t.startswith("-")) | t.isin(PREFIX_WORDS)
+    head = F.aggregate(words, F.lit("").cast("string"), lambda acc, t: F.when(acc != "", acc).when(skip(t), "").otherwise(t))
+    return F.when(head == "cd", "").otherwise(F.lower(F.regexp_extract(head, r"([^/]*)$", 1)))
 
 
 def bash_verbs(command: Column) -> Column:
-    """Verb of every segment; a change of directory counts only if nothing else is run."""
-    verbs = F.filter(F.transform(command_segments(command), _segment_verb), lambda v: v != "")
-    return F.filter(verbs, lambda v: v != "cd")
+    """Verbs of all segments, segments without one and changes of directory left out."""
+    return F.filter(F.transform(command_segments(command), _segment_verb), lambda v: v != "")
 
 
 def bash_verb(command: Column) -> Column:
@@ -50,14 +55,17 @@ def bash_verb(command: Column) -> Column:
 
 
 def op_type(command: Column) -> Column:
-    """read, write, verify or explore, from the command alone."""
+    """read, write, verify or explore, from the command alone.
+
+    A redirection makes cat and tee a write, even one of errors only; the git subcommand
+    counts only where git is the first word of the command.
+    """
     verb = bash_verb(command)
     git = F.regexp_extract(command, r"^\s*git\s+(\w+)", 1)
-    hyphen = command.rlike(r"^\s*git\s+\w+-")
     return (
-        F.when(command.rlike(r"\bsed\s+(-\w*\s+)*-\w*i"), "write")
-        .when(verb.isin("cat", "tee", "echo", "printf") & command.rlike(r">\s*\S"), "write")
-        .when((verb == "git") & git.isin(GIT_WRITES) & ~hyphen, "write")
+        F.when((verb == "sed") & command.rlike(r"\bsed\b[^|]*\s-i\b"), "write")
+        .when(verb.isin("cat", "tee") & command.rlike(r">\s*>|>\s*\S"), "write")
+        .when(verb == "git", F.when(git.isin(GIT_WRITES), "write").otherwise("explore"))
         .when(verb.isin(WRITE_VERBS), "write")
         .when(verb.isin(VERIFY_VERBS), "verify")
         .when(verb.isin(READ_VERBS), "read")
@@ -83,11 +91,11 @@ def step_success(contents: Column) -> Column:
 
 
 def files_touched(command: Column) -> Column:
-    """Tokens that look like paths, quotes stripped, repeats kept."""
-    bare = F.transform(F.split(command, r"\s+"), lambda t: F.regexp_replace(t, "^[\"']+|[\"']+$", ""))
-    return F.filter(
-        bare, lambda t: (t.contains("/") | t.rlike(r"\.\w{1,8}$")) & ~t.startswith("-") & ~t.rlike(r"^\w+=")
-    )
+    """Words that look like paths, quotes stripped, repeats kept; options and a=b are none."""
+    words = F.flatten(F.transform(command_segments(command), lambda s: F.split(s, r"\s+")))
+    path = lambda t: (t.contains("/") | t.rlike(r"\.\w{1,8}$")) & ~t.startswith("-")
+    paths = F.filter(words, lambda t: path(t) & (~t.contains("=") | t.startswith("/")) & ~t.isin([*PREFIX_WORDS, "cd"]))
+    return F.transform(paths, lambda t: F.regexp_replace(t, "^[\"']+|[\"']+$", ""))
 
 
 def observation_chars(contents: Column) -> Column:
