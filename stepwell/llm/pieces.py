@@ -121,6 +121,8 @@ class Vocabulary:
             return None
         if self.lower:
             text = unicodedata.normalize("NFC", text.lower())
+            if not text.isalpha():  # a dotted capital I becomes a letter and a mark
+                return None
         text = text.encode().decode("latin-1").translate(self.alphabet)
         return self.merge(text if core is piece else self.space + text)
 
