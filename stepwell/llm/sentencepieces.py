@@ -83,8 +83,10 @@ class Model:
         new = [w for w in distinct if w not in self.known]
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
-            got = self.sp.encode([w[1:].replace(MARK, " ") if w != MARK else " " for w in part], num_threads=1)
+            got = self.sp.encode([w[1:].replace(MARK, " ") for w in part], num_threads=1)
             self.known.update((w, np.array(x, np.uint16).tobytes()) for w, x in zip(part, got))
+            if MARK in part:  # a last space alone
+                self.known[MARK] = np.array(self.alone(MARK), np.uint16).tobytes()
         return self.known
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
