@@ -26,21 +26,44 @@ CHAIN = ("low_quality", "toxic")
 #: Rejected from here on.
 THRESHOLD = 0.5
 
+#: Bytes of a stem, and how many distinct words of a row must share it to count again.
+STEM = 6
+STEM_COUNTS = (1, 2, 4)
+
 _WORD = np.arange(256, dtype=np.uint8)
 _WORD[65:91] += 32
 _WORD[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
+def _stems(words: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Row and bucket of the stems of distinct words, once for each count they reach."""
+    long = end - start > STEM
+    row, start = row[long].astype(np.int64), start[long]
+    code = np.zeros(len(start), np.uint64)
+    for j in range(STEM):
+        code = (code << np.uint64(8)) | words[start + j].astype(np.uint64)
+    stem = (textbuf.mix(code) >> np.uint64(64 - BITS)).astype(np.int64)
+    key, count = np.unique((row << BITS) | stem, return_counts=True)
+    mask, out = (1 << BITS) - 1, []
+    for level, least in enumerate(STEM_COUNTS):
+        far = key[count >= least]
+        out.append((far & ~mask) | ((far + (level + 1) * 77_777) & mask))
+    return np.concatenate(out)
+
+
 def features(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed words of rows lo..hi: row (from 0) and word bucket, sorted.
 
-    Three more buckets of 16 each tell the shares of capitals, of exclamation marks and of
-    repeated words.
+    Further buckets tell which stems occur in one, two or four distinct words, so that
+    inflected and compounded forms add up.  Three more of 16 each tell the shares of
+    capitals, of exclamation marks and of repeated words.
     """
     buf, row_start, row_end = textbuf.buffer(column, lo, hi)
-    starts, _, hashes = textbuf.word_hashes(_WORD[buf])
+    words = _WORD[buf]
+    starts, ends, hashes = textbuf.word_hashes(words)
     row = np.searchsorted(row_start, starts, side="right") - 1
-    key = np.unique((row.astype(np.int64) << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64))
+    key, at = np.unique((row.astype(np.int64) << BITS) | (hashes >> np.uint64(64 - BITS)).astype(np.int64), return_index=True)
+    stems = _stems(words, key >> BITS, starts[at], ends[at])
     n = hi - lo
     size = np.maximum(row_end - row_start, 1)
 
@@ -48,12 +71,12 @@ def features(column: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray
         total = np.concatenate([[0], np.cumsum(mask)])
         return (total[row_end] - total[row_start]) / size
 
-    words = np.maximum(np.bincount(row, minlength=n), 1)
-    repeats = 1 - np.bincount(key >> BITS, minlength=n) / words
+    n_words = np.maximum(np.bincount(row, minlength=n), 1)
+    repeats = 1 - np.bincount(key >> BITS, minlength=n) / n_words
     style = [share((buf >= 65) & (buf < 91)), 8 * share(buf == 33), repeats]
     top = [(1 << BITS) - 16 * (j + 1) + np.minimum(x * 16, 15).astype(np.int64) for j, x in enumerate(style)]
     rows = np.arange(n, dtype=np.int64) << BITS
-    key = np.unique(np.concatenate([key, *(rows | t for t in top)]))
+    key = np.unique(np.concatenate([key, stems, *(rows | t for t in top)]))
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
