@@ -14,7 +14,7 @@ STEP = (
 
 def json_files(spark: SparkSession, root: str, name: str, contains: str | None = None) -> DataFrame:
     """(path, doc): whole JSON objects below a folder; doc is null where a file is none."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("wholetext", True).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
     rows = raw.select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("doc"))
     rows = rows.withColumn("doc", F.when(F.schema_of_variant("doc").startswith("OBJECT"), F.col("doc")))
     return rows.filter(F.col("path").contains(contains)) if contains else rows
@@ -79,7 +79,7 @@ def checkpoint(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
 
 def task_pool(spark: SparkSession, folder: str) -> DataFrame:
     """(task_id, repository_url) of every task.toml below a folder."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "task.toml").option("wholetext", True).text(folder)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "task.toml").text(folder, wholetext=True)
     return raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/task\.toml$", 1).alias("task_id"),
         F.nullif(F.regexp_extract("value", r'(?m)^\s*repository_url\s*=\s*"([^"]*)"', 1), F.lit("")).alias("repository_url"),

@@ -47,7 +47,7 @@ def upsert_results(stream: DataFrame, annotate, path: str, checkpoint: str):
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             done = None
-        fresh = annotate(rows)
-        (only_new(fresh, done) if done is not None else fresh).write.mode("append").parquet(path)
+        once = rows.dropDuplicates(["trial_id", "i", "input_hash"])
+        annotate(only_new(once, done) if done is not None else once).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
