@@ -207,9 +207,9 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` (all columns) that stand for their component: one each."""
-    found = materialise(near_duplicates(docs, **options).select("doc_id", "uid", "component_id"), "components")
+    found = materialise(find(docs, **options).select("doc_id", "uid", "component_id"), "components")
     first = F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("keep_uid")
     tops = found.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1")
     again = found.join(tops, "component_id")
