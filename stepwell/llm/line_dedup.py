@@ -66,16 +66,54 @@ def repeated_run_starts(docs: DataFrame, min_run: int = 3) -> DataFrame:
     return rows.select("doc_id", "uid", "pos", "at", "first")
 
 
-def rewrite(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_run: int = 3) -> DataFrame:
-    """``docs`` with all its columns; text loses later copies, _n_lines and _n_removed are added."""
+def later_short_runs(docs: DataFrame, below: int, min_words: int) -> DataFrame:
+    """(uid, pos, len): later copies of runs of fewer than ``below`` lines that hold min_words words or more."""
+    lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(INK))
+    counted = F.transform(
+        lines, lambda s: F.struct(F.xxhash64(s).alias("name"), F.size(F.array_remove(F.split(s, "[ \\t\\r\\x0B\\x0C]+"), "")).alias("words"))
+    )
+    rows = docs.select("doc_id", "uid", counted.alias("lines"))
+
+    def windows(n: int):
+        def window(x, i):
+            run = F.slice("lines", i + 1, n)
+            words = F.aggregate(run, F.lit(0), lambda a, y: a + y["words"])
+            whole = (F.size(run) == n) & (words >= min_words)
+            return F.when(whole, F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.transform(run, lambda y: y["name"])).alias("key")))
+
+        return F.array_compact(F.transform("lines", window))
+
+    found = rows.select("doc_id", "uid", F.explode(F.concat(*[windows(n) for n in range(1, below)])).alias("x")).select("doc_id", "uid", "x.*")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "pos")).alias("first")
+    nodes = found.groupBy("len", "key").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n")
+    later = ~(F.col("first.uid").eqNullSafe(F.col("uid")) & (F.col("first.pos") == F.col("pos")))
+    return found.join(nodes, ["len", "key"]).filter(later).select("uid", "pos", "len")
+
+
+def rewrite(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_run: int = 3, min_words: int | None = None
+) -> DataFrame:
+    """``docs`` with all its columns; text loses later copies, _n_lines and _n_removed are added.
+
+    With ``min_words`` later copies of runs of fewer than ``min_run`` lines go too if
+    the run holds so many words.
+    """
     starts = repeated_run_starts(documents(docs, id_col, text_col), min_run)
     later = starts.filter(~(F.col("first.uid").eqNullSafe(F.col("uid")) & (F.col("first.pos") == F.col("pos"))))
     runs = later.groupBy(F.col("uid").alias("_uid")).agg(F.array_sort(F.collect_set("pos")).alias("_starts"))
+    if min_words is not None and min_run > 1:
+        short = later_short_runs(documents(docs, id_col, text_col), min_run, min_words)
+        each = F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("len") - 1)))
+        runs = runs.join(short.groupBy(F.col("uid").alias("_uid")).agg(each.alias("_short")), "_uid", "full")
     joined = docs.withColumn("_uid", row_uid(docs, id_col, text_col)).join(runs, "_uid", "left")
     joined = joined.withColumn("_lines", F.split(F.coalesce(docs[text_col], F.lit("")), "\n"))
     touched = F.col("_starts").isNotNull()
     inked = F.array_compact(F.transform("_lines", lambda s, i: F.when(s.rlike(INK), i)))
     gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (min_run - 1)))))
+    if "_short" in runs.columns:
+        touched = touched | F.col("_short").isNotNull()
+        none = F.array().cast("array<int>")
+        gone = F.array_distinct(F.concat(F.coalesce(gone, none), F.coalesce("_short", none)))
     joined = joined.withColumn("_inked", F.when(touched, inked))
     joined = joined.withColumn("_gone", F.when(touched, F.transform(gone, lambda p: F.get("_inked", p))))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
