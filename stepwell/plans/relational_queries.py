@@ -207,10 +207,18 @@ def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, substr(text, 1, 40) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_by_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first document of each source and head, as the SQL says; whole texts may differ."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\x01", "source", F.substring("text", 1, 40)).alias("key"))
     return sequence.first_wins(rows, "key", "doc_id").select("doc_id")
 
 
+@query(r"SELECT min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS title FROM pages) GROUP BY title")
+def dedupe_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each whole lower-cased title."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.lower(tx.html_title(F.col("html"))).alias("title"))
+    return rows.groupBy("title").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies")).select("page_id", "copies")
+
+
 @query(None)
 def dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.split("url", r"\?")[0].alias("address"), tx.title_key(F.lower(tx.html_title(F.col("html")))).alias("title"))
