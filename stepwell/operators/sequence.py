@@ -121,23 +121,37 @@ def first_wins(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def two_key_dedupe(rows: DataFrame, component: str, at: str, key_a: str, key_b: str) -> DataFrame:
-    """In-order dedupe by two keys: a row goes if a kept row has one of its keys.
+def two_key_dedupe(rows: DataFrame, at: str, key_a: str, key_b: str, fill: str, source: str) -> DataFrame:
+    """In-order dedupe by two keys: a row goes if a kept row before it has one of its keys.
 
-    Only kept rows register keys, so the rule is a fold; ``component`` names groups of
-    rows that no key links (a component id, or a hash of the keys' normal form).
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        seen_a, seen_b, keep = set(), set(), []
-        for a, b in zip(pdf[key_a], pdf[key_b]):
-            old = (a is not None and a != "" and a in seen_a) or b in seen_b
-            keep.append(not old)
-            if not old:
-                seen_a.add(a)
-                seen_b.add(b)
-        return pdf[keep]
-
-    return rows.groupBy(component).applyInPandas(fold, rows.schema)
+    Only kept rows register keys.  An empty key_a is none; an empty key_b is a key like
+    any other.  A row with the key_a of a kept row before it is merged into that row: it
+    fills an empty ``fill``, and ``sources`` unites the values of ``source``.  ``at`` is
+    unique and not null.
 
+    The fold is solved by joins over the whole table: the first undecided row of both
+    its keys is kept, rows that share a key with it go, and so on until none is left.
+    No group of rows is gathered in one place.
+    """
+    a, b = F.nullif(F.col(key_a), F.lit("")), F.coalesce(F.col(key_b), F.lit(""))
+    base = rows.withColumn("_a", a).withColumn("_b", b)
+    undecided = base.select(F.col(at).alias("_at"), "_a", "_b").localCheckpoint()
+    kept = undecided.limit(0)
+    while undecided.take(1):
+        of_a = undecided.filter("_a IS NOT NULL").groupBy("_a").agg(F.min("_at").alias("_first_a"))
+        of_b = undecided.groupBy("_b").agg(F.min("_at").alias("_first_b"))
+        marked = undecided.join(of_b, "_b").join(of_a, "_a", "left")
+        now = marked.filter((F.col("_at") == F.col("_first_b")) & (F.col("_at") == F.coalesce("_first_a", "_at")))
+        now = now.select("_at", "_a", "_b").localCheckpoint()
+        kept = kept.union(now)
+        left = undecided.join(now.select("_b"), "_b", "left_anti")
+        undecided = left.join(now.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti").select("_at", "_a", "_b").localCheckpoint()
+    kept = kept.select(F.col("_at").alias("_base"), F.col("_a").alias("_base_a"))
+    heads = base.join(kept, F.col(at) == F.col("_base")).drop("_base_a")
+    later = kept.filter("_base_a IS NOT NULL").join(base, F.col("_base_a") == F.col("_a")).filter(F.col(at) >= F.col("_base"))
+    merged = later.groupBy("_base").agg(
+        F.min_by(fill, F.when(F.col(fill) != "", F.col(at))).alias("_fill"), F.array_sort(F.collect_set(source)).alias("_sources")
+    )
+    own = F.array_compact(F.array(F.col(source)))
+    joined = heads.join(merged, "_base", "left").withColumn("sources", F.coalesce("_sources", own))
+    return joined.withColumn(fill, F.coalesce("_fill", fill)).select(*rows.columns, "sources")

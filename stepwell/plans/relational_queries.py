@@ -221,8 +221,15 @@ def dedupe_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.split("url", r"\?")[0].alias("address"), tx.title_key(F.lower(tx.html_title(F.col("html")))).alias("title"))
-    return sequence.two_key_dedupe(rows.withColumn("component", F.xxhash64("title")), "component", "page_id", "address", "title").select("page_id")
+    """Pages by address, then by title: kept pages with the first paragraph and the hosts of those merged into them."""
+    rows = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.split("url", r"\?")[0].alias("address"),
+        tx.title_key(F.lower(tx.html_title(F.col("html")))).alias("title"),
+        F.trim(F.regexp_extract("html", r"(?is)<p[^>]*>(.*?)</p>", 1)).alias("abstract"),
+        tx.url_host(F.col("url")).alias("host"),
+    )
+    return sequence.two_key_dedupe(rows, "page_id", "address", "title", "abstract", "host").select("page_id", "abstract", "sources")
 
 
 WORDS = ["the", "and", "ing", "tion", "the"]
