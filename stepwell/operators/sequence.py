@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,19 +135,22 @@ def two_key_dedupe(rows: DataFrame, at: str, key_a: str, key_b: str, fill: str,
     its keys is kept, rows that share a key with it go, and so on until none is left.
     No group of rows is gathered in one place.
     """
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # else the cluster's shared folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="stepwell-"))
     a, b = F.nullif(F.col(key_a), F.lit("")), F.coalesce(F.col(key_b), F.lit(""))
     base = rows.withColumn("_a", a).withColumn("_b", b)
-    undecided = base.select(F.col(at).alias("_at"), "_a", "_b").localCheckpoint()
+    undecided = base.select(F.col(at).alias("_at"), "_a", "_b").checkpoint()
     kept = undecided.limit(0)
     while undecided.take(1):
         of_a = undecided.filter("_a IS NOT NULL").groupBy("_a").agg(F.min("_at").alias("_first_a"))
         of_b = undecided.groupBy("_b").agg(F.min("_at").alias("_first_b"))
         marked = undecided.join(of_b, "_b").join(of_a, "_a", "left")
         now = marked.filter((F.col("_at") == F.col("_first_b")) & (F.col("_at") == F.coalesce("_first_a", "_at")))
-        now = now.select("_at", "_a", "_b").localCheckpoint()
+        now = now.select("_at", "_a", "_b").checkpoint()
         kept = kept.union(now)
         left = undecided.join(now.select("_b"), "_b", "left_anti")
-        undecided = left.join(now.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti").select("_at", "_a", "_b").localCheckpoint()
+        undecided = left.join(now.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti").select("_at", "_a", "_b").checkpoint()
     kept = kept.select(F.col("_at").alias("_base"), F.col("_a").alias("_base_a"))
     heads = base.join(kept, F.col(at) == F.col("_base")).drop("_base_a")
     later = kept.filter("_base_a IS NOT NULL").join(base, F.col("_base_a") == F.col("_a")).filter(F.col(at) >= F.col("_base"))
