@@ -13,29 +13,53 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """This application's part of the folder that all executors share.
+
+    It lies in ``spark.checkpoint.dir``.  Where that is unset it lies in the warehouse,
+    or, in local mode alone, where driver and executors are one process, in a temporary folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="stepwell-"))
-    return f"file://{_OWN_DIR[0]}"
+    if not path and spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        if not _OWN_DIR:
+            _OWN_DIR.append(tempfile.mkdtemp(prefix="stepwell-"))
+        path = f"file://{_OWN_DIR[0]}"
+    path = path or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{path.rstrip('/')}/stepwell-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: lineage ends here."""
+    """Write a table in the shared folder and read it back: lineage ends here.
+
+    Results read such tables, so they stay until `discard` or `clear` removes them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by `materialise` that is read no more."""
-    spark = df.sparkSession
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables of this application, once no result that reads them is needed."""
+    _delete(spark, shared_dir(spark))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

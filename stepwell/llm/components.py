@@ -14,7 +14,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         moved = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -22,21 +22,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-    return moved.filter("u <> v").distinct()
+    after = materialise(moved.filter("u <> v").distinct(), "edges")
+    discard(least)
+    return after
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without a link are absent.
 
-    Nulls and self-links are ignored.  Every step is a grouping by node with partial
-    aggregation and an equi-join, so a node with very many links is split by the
-    adaptive skew join; the step's table is written to the shared folder.
+    Nulls and self-links are ignored; no edges give no rows.  Every step is a grouping by
+    node with partial aggregation and an equi-join with its written table: both sides are
+    dealt out for the join alone, so the adaptive skew join may split a node with very
+    many links.  Tables of earlier steps are removed.
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = materialise(start, "edges")
     mark = None
     while True:
-        after = materialise(_star(_star(now, True), False), "edges")
+        large = _star(now, True)
+        after = _star(large, False)
+        discard(large)
         got = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 998244353)).first()
         discard(now)
         now = after
