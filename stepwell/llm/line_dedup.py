@@ -1,77 +1,101 @@
-"""Line dedup: suffix ranks over line-id sequences by distributed prefix doubling.
+"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
 
 DataFrame operations only.  A document is the sequence of its lines that hold
-something other than blanks.  A suffix is named by the 64-bit hash of its first
-line; each round joins the rank of a suffix with the rank of the suffix 2^k lines
-further on, and the distinct pairs, sorted over range partitions, give the ranks of
-twice that depth.  Suffixes whose rank nobody shares are settled and leave.  At
-depth ``min_run`` the suffixes that still share a rank are the intervals of the
-suffix array whose longest common prefix is ``min_run`` or more, so the first member
-of each is the first copy and the union of the later members' runs is exactly the
-later copies of all maximal repeated runs.
+something other than blanks, and every such line starts a suffix.  Suffixes are ranked
+by their first line, then by ``min_run`` lines, then by twice that depth round after
+round: the rank of a suffix is paired with the rank of the suffix that lies a depth
+further on, and the distinct pairs, sorted over range partitions, give the next ranks.
+A suffix whose rank nobody shares, or whose document ends, is settled and leaves; the
+rounds go on until all are settled, so the longest repeat is covered.
+
+Suffixes of equal rank at depth d are an interval of the suffix array whose longest
+common prefix is d lines or more; its first member in document order is the first
+copy.  The later members of all intervals, merged, are the maximal repeated runs of a
+document, and those lines are deleted.
+
+Lines are named by two 64-bit hashes with different seeds; from the first ranks on all
+is exact.  At 1e13 lines the chance that any two different lines share a name is 1e-12.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import documents, row_uid
+from stepwell.llm.common import discard, documents, free_name, materialise, row_uid
 
 INK = "[^ \\t\\r\\x0B\\x0C]"
+BLANKS = "[ \\t\\r\\x0B\\x0C]+"
+
+
+def _name(x: Column) -> list[Column]:
+    """128 bits that stand for a line or a run of lines."""
+    return [F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2")]
+
+
+def _first() -> Column:
+    """The first member of a node; a null doc_id comes last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "pos")).alias("first")
+
+
+def _later() -> Column:
+    return ~(F.col("first.uid").eqNullSafe(F.col("uid")) & (F.col("first.pos") == F.col("pos")))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, uid, pos, at, name): lines with ink, pos counting these, at all lines."""
-    lines = F.transform(F.split("text", "\n"), lambda s, i: F.struct(s.alias("s"), i.alias("at")))
-    inked = F.filter(lines, lambda x: x.s.rlike(INK))
-    named = F.transform(inked, lambda x: F.struct(F.xxhash64(x.s).alias("name"), x.at.alias("at")))
-    return (
-        docs.select("doc_id", "uid", F.posexplode(named).alias("pos", "x"))
-        .select("doc_id", "uid", "pos", F.col("x.at").alias("at"), F.col("x.name").alias("rank"))
-    )
+    """(doc_id, uid, pos, h1, h2): lines with ink, pos counting these."""
+    inked = F.filter(F.split("text", "\n"), lambda s: s.rlike(INK))
+    named = F.transform(inked, lambda s: F.struct(*_name(s)))
+    return docs.select("doc_id", "uid", F.posexplode(named).alias("pos", "x")).select("doc_id", "uid", "pos", "x.*")
 
 
-def _shared(rows: DataFrame, keys: list[str], parts: int, final: bool) -> DataFrame:
-    """Rows whose keys occur more than once, with the rank of the keys.
+def _ranked(rows: DataFrame, keys: list[str], parts: int) -> DataFrame:
+    """(doc_id, uid, pos, rank, later): rows whose keys occur more than once.
 
-    The ranks are order-preserving: distinct keys are range-partitioned and sorted,
-    and the partition and row number of a key make one long.
+    Ranks keep the order of the keys: distinct keys are range-partitioned and sorted, and
+    the partition and row number of a key make one long.  The nodes are a written table,
+    so both sides of the join are dealt out for it alone and the adaptive skew join may
+    split the rows of a frequent line.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "pos")).alias("first")
-    nodes = rows.groupBy(*keys).agg(F.count("*").alias("n"), first).filter("n > 1")
-    if final:
-        return rows.join(nodes.drop("n"), keys)
-    if len(keys) == 1:
-        return rows.join(nodes.select(*keys), keys)
-    ranked = nodes.select(*keys).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    ranked = ranked.withColumn("rank", F.monotonically_increasing_id())
-    return rows.join(ranked, keys).drop(*keys)
-
-
-def repeated_run_starts(docs: DataFrame, min_run: int = 3) -> DataFrame:
-    """(doc_id, uid, pos, at, first): suffixes that share their first min_run lines."""
+    nodes = rows.groupBy(*keys).agg(F.count("*").alias("n"), _first()).filter("n > 1").drop("n")
+    nodes = nodes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    nodes = materialise(nodes.withColumn("rank", F.monotonically_increasing_id()), "nodes")
+    shared = materialise(rows.join(nodes, keys).select("doc_id", "uid", "pos", "rank", _later().alias("later")), "suffixes")
+    discard(nodes)
+    return shared
+
+
+def _ahead(rows: DataFrame, shift: int, keys: list[str]) -> DataFrame:
+    """Suffixes with their rank and the rank ``shift`` lines further on; those without one are settled."""
+    in_order = Window.partitionBy("uid", "doc_id").orderBy("pos").rangeBetween(shift, shift)
+    paired = rows.withColumn("b", F.max("rank").over(in_order)).filter("b IS NOT NULL")
+    return paired.select("doc_id", "uid", "pos", F.col("rank").alias(keys[0]), F.col("b").alias(keys[1]))
+
+
+def intervals(docs: DataFrame, min_run: int = 3) -> DataFrame:
+    """(uid, pos, depth): later members of the intervals of depth min_run, 2 min_run, 4 min_run ... lines."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = Window.partitionBy("uid", "doc_id").orderBy("pos")
-    rows = _shared(_lines(docs), ["rank"], parts, min_run == 1)
-    depth = 1
-    while depth < min_run:
-        shift = min(depth, min_run - depth)
-        # the row `shift` lines on may have left; then nothing repeats at this depth
-        ahead = F.max(F.struct("pos", "rank")).over(in_order.rangeBetween(shift, shift))
-        paired = rows.withColumn("ahead", ahead).filter("ahead IS NOT NULL")
-        paired = paired.select("doc_id", "uid", "pos", "at", F.col("rank").alias("a"), F.col("ahead.rank").alias("b"))
+    rows, depth, found = _ranked(_lines(docs), ["h1", "h2"], parts), 1, []
+    while True:
+        if depth >= min_run:
+            found.append(rows.filter("later").select("uid", "pos", F.lit(depth).alias("depth")))
+            if not rows.take(1):
+                return functools.reduce(DataFrame.union, found)
+        shift = depth if depth >= min_run else min(depth, min_run - depth)
+        paired = materialise(_ahead(rows, shift, ["a", "b"]), "pairs")
+        if depth < min_run:
+            discard(rows)
+        rows = _ranked(paired, ["a", "b"], parts)
+        discard(paired)
         depth += shift
-        rows = _shared(paired, ["a", "b"], parts, depth == min_run)
-    return rows.select("doc_id", "uid", "pos", "at", "first")
 
 
-def later_short_runs(docs: DataFrame, below: int, min_words: int) -> DataFrame:
-    """(uid, pos, len): later copies of runs of fewer than ``below`` lines that hold min_words words or more."""
+def short_runs(docs: DataFrame, below: int, min_words: int) -> DataFrame:
+    """(uid, pos, depth): later copies of runs of fewer than ``below`` lines that hold min_words words or more."""
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(INK))
-    counted = F.transform(
-        lines, lambda s: F.struct(F.xxhash64(s).alias("name"), F.size(F.array_remove(F.split(s, "[ \\t\\r\\x0B\\x0C]+"), "")).alias("words"))
-    )
+    counted = F.transform(lines, lambda s: F.struct(*_name(s), F.size(F.array_remove(F.split(s, BLANKS), "")).alias("words")))
     rows = docs.select("doc_id", "uid", counted.alias("lines"))
 
     def windows(n: int):
@@ -79,50 +103,64 @@ def later_short_runs(docs: DataFrame, below: int, min_words: int) -> DataFrame:
             run = F.slice("lines", i + 1, n)
             words = F.aggregate(run, F.lit(0), lambda a, y: a + y["words"])
             whole = (F.size(run) == n) & (words >= min_words)
-            return F.when(whole, F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.transform(run, lambda y: y["name"])).alias("key")))
+            names = F.transform(run, lambda y: F.struct(y["h1"], y["h2"]))
+            return F.when(whole, F.struct(i.alias("pos"), F.lit(n).alias("depth"), *_name(names)))
 
         return F.array_compact(F.transform("lines", window))
 
-    found = rows.select("doc_id", "uid", F.explode(F.concat(*[windows(n) for n in range(1, below)])).alias("x")).select("doc_id", "uid", "x.*")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "uid", "pos")).alias("first")
-    nodes = found.groupBy("len", "key").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n")
-    later = ~(F.col("first.uid").eqNullSafe(F.col("uid")) & (F.col("first.pos") == F.col("pos")))
-    return found.join(nodes, ["len", "key"]).filter(later).select("uid", "pos", "len")
+    found = rows.select("doc_id", "uid", F.explode(F.concat(*[windows(n) for n in range(1, below)])).alias("x"))
+    found = materialise(found.select("doc_id", "uid", "x.*"), "short")
+    nodes = materialise(found.groupBy("depth", "h1", "h2").agg(F.count("*").alias("n"), _first()).filter("n > 1").drop("n"), "nodes")
+    return found.join(nodes, ["depth", "h1", "h2"]).filter(_later()).select("uid", "pos", "depth")
+
+
+def maximal_runs(found: DataFrame) -> DataFrame:
+    """(uid, start, end): later copies merged where they overlap or touch; end is exclusive."""
+    in_order = Window.partitionBy("uid").orderBy("pos", "depth")
+    reach = F.max(F.col("pos") + F.col("depth")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(F.col("pos") > F.coalesce(reach, F.lit(-1)), 1).otherwise(0)
+    marked = found.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy("uid", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("depth")).alias("end")).drop("run")
 
 
 def rewrite(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_run: int = 3, min_words: int | None = None
+    docs: DataFrame,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    min_run: int = 3,
+    min_words: int | None = None,
+    prefix: str = "_",
 ) -> DataFrame:
-    """``docs`` with all its columns; text loses later copies, _n_lines and _n_removed are added.
+    """``docs`` with all its columns; text loses later copies.
 
     With ``min_words`` later copies of runs of fewer than ``min_run`` lines go too if
-    the run holds so many words.
+    the run holds so many words.  Three columns are added, named by ``prefix`` and
+    ``uid``, ``n_lines``, ``n_removed`` with further underscores in front where ``docs``
+    has such a column.  Null text stays null and counts as one blank line; repeated rows
+    stay and get the same result; an empty table stays empty.
     """
-    starts = repeated_run_starts(documents(docs, id_col, text_col), min_run)
-    later = starts.filter(~(F.col("first.uid").eqNullSafe(F.col("uid")) & (F.col("first.pos") == F.col("pos"))))
-    runs = later.groupBy(F.col("uid").alias("_uid")).agg(F.array_sort(F.collect_set("pos")).alias("_starts"))
+    names = [free_name(docs, f"{prefix}{c}") for c in ("uid", "n_lines", "n_removed")]
+    base = documents(docs, id_col, text_col)
+    found = intervals(base, min_run)
     if min_words is not None and min_run > 1:
-        short = later_short_runs(documents(docs, id_col, text_col), min_run, min_words)
-        each = F.flatten(F.collect_set(F.sequence("pos", F.col("pos") + F.col("len") - 1)))
-        runs = runs.join(short.groupBy(F.col("uid").alias("_uid")).agg(each.alias("_short")), "_uid", "full")
-    joined = docs.withColumn("_uid", row_uid(docs, id_col, text_col)).join(runs, "_uid", "left")
-    joined = joined.withColumn("_lines", F.split(F.coalesce(docs[text_col], F.lit("")), "\n"))
-    touched = F.col("_starts").isNotNull()
-    inked = F.array_compact(F.transform("_lines", lambda s, i: F.when(s.rlike(INK), i)))
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.sequence(p, p + (min_run - 1)))))
-    if "_short" in runs.columns:
-        touched = touched | F.col("_short").isNotNull()
-        none = F.array().cast("array<int>")
-        gone = F.array_distinct(F.concat(F.coalesce(gone, none), F.coalesce("_short", none)))
-    joined = joined.withColumn("_inked", F.when(touched, inked))
-    joined = joined.withColumn("_gone", F.when(touched, F.transform(gone, lambda p: F.get("_inked", p))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    text = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
+        found = found.union(short_runs(base, min_run, min_words))
+    runs = maximal_runs(found).groupBy(F.col("uid").alias("run_uid")).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
+    # the table's own columns travel in one struct, so that no name can clash
+    held = docs.select(F.struct("*").alias("row"), row_uid(docs, id_col, text_col).alias("uid"), docs[text_col].cast("string").alias("text"))
+    joined = held.join(runs, F.col("uid") == F.col("run_uid"), "left")
+    joined = joined.withColumn("lines", F.split(F.coalesce("text", F.lit("")), "\n"))
+    touched = F.col("runs").isNotNull()
+    inked = F.array_compact(F.transform("lines", lambda s, i: F.when(s.rlike(INK), i)))
+    joined = joined.withColumn("inked", F.when(touched, inked))
+    gone = F.flatten(F.transform("runs", lambda r: F.slice("inked", r["start"] + 1, r["end"] - r["start"])))
+    joined = joined.withColumn("gone", F.when(touched, gone))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    text = F.when(touched, F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")).otherwise(F.col("text"))
     return joined.select(
-        "_uid",
-        *[F.when(touched, text).otherwise(docs[text_col]).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
+        *[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns],
+        F.col("uid").alias(names[0]),
+        F.size("lines").cast("long").alias(names[1]),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias(names[2]),
     )
 
 
@@ -137,5 +175,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Extra columns are ignored.  Tables may be empty.
     """
     base = documents(docs, id_col, text_col).drop("uid")
-    out = rewrite(base, min_run=min_run)
-    return out.select("doc_id", F.col("_uid").alias("uid"), "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    return rewrite(base, min_run=min_run, prefix="").select("doc_id", "uid", "text", "n_lines", "n_removed")
