@@ -82,8 +82,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words, worked out block by block."""
+def word_hashes(buf: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of the words, worked out block by block.
+
+    ``values`` gives other numbers for the 256 bytes, and so another hash.
+    """
     starts, ends = spans(buf)
     hashes = np.empty(len(starts), np.uint64)
     lo = 0
@@ -93,7 +96,8 @@ def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         part = buf[base : ends[hi - 1]]
         up, down = _powers(len(part) + 1)
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(up[: len(part)] * (part.astype(np.uint64) + np.uint64(1)), out=total[1:])
+        number = part.astype(np.uint64) + np.uint64(1) if values is None else values[part]
+        np.cumsum(up[: len(part)] * number, out=total[1:])
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
         hashes[lo:hi] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
         lo = hi
