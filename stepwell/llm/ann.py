@@ -1,27 +1,40 @@
 """Approximate nearest neighbours by inner product: score-aware anisotropic quantisation.
 
-Vectors are coded in subspaces of two dimensions with 16 centres each (four bits).  The
-loss weighs the residual parallel to the vector more than the rest, since that is what
-moves large inner products.  Tables of query times centre are summed over the codes of
-all vectors, and the best of each block are ranked again with the original vectors.
+Directions of vectors are coded in subspaces of two dimensions with 16 centres each: four
+bits a subspace, two codes a byte; the length stays beside the code.  The loss weighs the
+residual parallel to the vector more than the rest, since that is what moves large inner
+products.  Tables of query times centre are summed over the codes of a block, and the best
+of each are ranked again with the original vectors.
+
+Vectors are dealt to coarse partitions by direction, and a query goes to the partitions
+nearest to it.  How many it needs, and how many codes are ranked again, is measured on a
+sample against exact search; where pruning costs recall, all partitions are searched.  A
+vector is shuffled once for each block of queries (64 MB of them), beside its code.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import materialise
+from stepwell.llm.common import discard, materialise
 
-#: Vectors the centres are fitted on, the least by hash of the id.
+#: Vectors that the index is fitted and measured on, the least by hash of the id.
 SAMPLE = 8192
 DIMS = 2
 CENTRES = 16
-QUERY_BLOCK = 1024
-VECTOR_BLOCK = 8192
-RERANK = 200
+#: Rows whose codes are ranked together; the number ranked again counts for so many.
+UNIT = 8192
+#: Bytes of queries or of vectors that meet in one task.
+MEET = 64 << 20
+#: Sampled queries that measure recall, and the shares of the nearest that must stay.
+ASKED, IN_PROBES, IN_RERANK = 256, 0.99, 0.97
 
 
 def weight(dim: int, threshold: float = 0.2) -> float:
@@ -85,93 +98,198 @@ def fit(x: np.ndarray, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return centres
 
 
-def scan(queries: np.ndarray, codes: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """Approximate scores [queries, rows]: sums of table entries, two codes a look-up."""
+def partition_centres(u: np.ndarray, n: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
+    """Directions of ``n`` partitions (spherical k-means)."""
+    centres = u[np.random.default_rng(seed).choice(len(u), n, replace=False)]
+    for _ in range(rounds):
+        own = (u @ centres.T).argmax(axis=1)
+        for c in range(n):
+            total = u[own == c].sum(axis=0)
+            size = np.linalg.norm(total)
+            if size > 0:
+                centres[c] = total / size
+    return centres
+
+
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.linalg.norm(x, axis=1)
+    return x / np.maximum(norm, 1e-300)[:, None], norm
+
+
+def pack(codes: np.ndarray) -> np.ndarray:
+    """Two codes of four bits a byte."""
+    if codes.shape[1] % 2:
+        codes = np.column_stack([codes, np.zeros(len(codes), np.uint8)])
+    return codes[:, 0::2] * np.uint8(CENTRES) + codes[:, 1::2]
+
+
+def scan(queries: np.ndarray, packed: np.ndarray, norm: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Approximate scores [queries, rows]: sums of table entries, one look-up a byte."""
     tables = np.einsum("jqd,jcd->jqc", _blocks(queries), centres)
-    out = np.zeros((len(queries), len(codes)), np.float32)
-    for j in range(0, len(tables) - 1, 2):
-        both = (tables[j][:, :, None] + tables[j + 1][:, None, :]).reshape(len(queries), -1).astype(np.float32)
-        out += both[:, codes[:, j].astype(np.int64) * CENTRES + codes[:, j + 1]]
     if len(tables) % 2:
-        out += tables[-1].astype(np.float32)[:, codes[:, -1]]
-    return out
+        tables = np.concatenate([tables, np.zeros_like(tables[:1])])
+    out = np.zeros((len(queries), len(packed)), np.float32)
+    for j in range(packed.shape[1]):
+        both = (tables[2 * j][:, :, None] + tables[2 * j + 1][:, None, :]).reshape(len(queries), -1).astype(np.float32)
+        out += both[:, packed[:, j]]
+    return out * norm.astype(np.float32)
+
+
+@dataclass
+class Index:
+    """What is fitted on the sample: code centres, partitions, how many to search and to rank again."""
+
+    centres: np.ndarray
+    partitions: np.ndarray
+    probes: int
+    rerank: int
+
+    def codes(self, u: np.ndarray) -> np.ndarray:
+        return pack(assign(u, self.centres, weight(u.shape[1])))
 
+    def place(self, u: np.ndarray) -> np.ndarray:
+        return (u @ self.partitions.T).argmax(axis=1)
 
-def block_search(q_ids, q, ids, x, codes, centres, k: int, rerank: int) -> pd.DataFrame:
-    """Best k of a block of vectors (sorted by id) for a block of queries."""
+    def route(self, q: np.ndarray) -> np.ndarray:
+        """Partitions to search, the nearest first."""
+        return np.argsort(-(q @ self.partitions.T), axis=1, kind="stable")[:, : self.probes]
+
+
+def fit_index(x: np.ndarray, n_partitions: int, k: int) -> Index:
+    """Fitted on the rows of ``x``; probes and rerank are the least that keep the sampled queries' neighbours."""
+    u, norm = directions(x)
+    index = Index(fit(u), partition_centres(u, min(n_partitions, len(u))), 0, 0)
+    asked = np.arange(len(x))[: min(ASKED, len(x))]
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        index.probes, index.rerank = len(index.partitions), 1
+        return index
+    true = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+    order = np.argsort(-(x[asked] @ index.partitions.T), axis=1, kind="stable")
+    at = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], index.place(u)[true]]
+    kept = [(at < p).mean() for p in range(1, len(index.partitions) + 1)]
+    index.probes = next((p for p, share in enumerate(kept, 1) if share >= IN_PROBES), len(index.partitions))
+    near = scan(x[asked], index.codes(u), norm, index.centres)
+    near[np.arange(len(asked)), asked] = -np.inf
+    kth = np.take_along_axis(near, true, axis=1)
+    above = np.stack([(near > kth[:, [j]]).sum(axis=1) for j in range(k)], axis=1)
+    need = int(np.quantile(above, IN_RERANK)) + 1
+    index.rerank = max(2 * k, need + need // 4)
+    return index
+
+
+def unit_search(q_rows, q, rows, ids, x, packed, norm, index: Index, k: int) -> list[tuple]:
+    """(query row, positions, exact scores): the best k of one unit, sorted by id, for each query."""
     found = []
-    top = min(len(ids), max(rerank, k) + 1)
-    for a in range(0, len(q_ids), 128):
-        scores = scan(q[a : a + 128], codes, centres)
+    top = min(len(ids), max(index.rerank, k) + 1)
+    for a in range(0, len(q_rows), 128):
+        scores = scan(q[a : a + 128], packed, norm, index.centres)
         kth = np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top]
-        for i, (row, least) in enumerate(zip(scores, kth)):
-            above = np.flatnonzero(row > least)
-            ties = np.flatnonzero(row == least)[: top - len(above)]  # smaller ids first
+        for i, (score, least) in enumerate(zip(scores, kth)):
+            above = np.flatnonzero(score > least)
+            ties = np.flatnonzero(score == least)[: top - len(above)]  # smaller ids first
             near = np.concatenate([above, ties])
-            near = near[ids[near] != q_ids[a + i]]
+            near = near[rows[near] != q_rows[a + i]]
             exact = (x[near] * q[a + i]).sum(axis=1)
             order = np.lexsort((ids[near], -exact))[:k]
-            found.append((np.full(len(order), q_ids[a + i]), ids[near][order], exact[order]))
-    cols = [np.concatenate([f[c] for f in found]) for c in range(3)] if found else [[], [], []]
-    return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+            found.append((a + i, near[order], exact[order]))
+    return found
 
 
 def clean_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(vec_id, vec): vectors that take part, one per id."""
+    """(row, vec_id, vec): the rows that take part, each with a number of its own."""
     vec = vectors[vec_col].cast("array<double>")
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vec.alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & fine & F.exists("vec", lambda x: x != 0))
-    rows = rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
     dims = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1)
-    return rows.join(F.broadcast(dims.select("dim")), F.size("vec") == F.col("dim")).select("vec_id", "vec")
+    rows = rows.join(F.broadcast(dims.select("dim")), F.size("vec") == F.col("dim"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
 
+def _packed(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binaries."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.itemsize
+    offsets = pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, offsets, pa.py_buffer(x.tobytes())])
 
-def search(
-    vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20, rerank: int = RERANK
-) -> DataFrame:
+
+def _read(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row whose id is divisible by ``every``.
 
     The score is the inner product in double precision; equal scores go by the smaller
-    vec_id; a query's own id is no candidate.  Null ids, and vectors that are null, zero or
-    hold a null or non-finite component, take no part; rows of one id count once, with the
-    least vector; vectors of another length than the most common take no part.  An empty
-    table gives an empty result.  Queries and vectors meet in blocks, spread over tasks.
+    vec_id.  Every row but the query's own is a candidate: rows of one id are candidates and
+    queries of their own.  Null ids, and vectors that are null, zero or hold a null or
+    non-finite component, take no part; nor do vectors of another length than the most
+    common.  Fewer than k candidates are all returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
-    rows = materialise(clean_vectors(vectors, id_col, vec_col), "vectors")
-    out = "query_id long, vec_id long, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toPandas()
-    if len(sample) == 0:
+    table = materialise(clean_vectors(vectors, id_col, vec_col), "vectors")
+    n = table.count()
+    if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    centres = fit(np.array(sample["vec"].tolist()))
-    eta = weight(len(sample["vec"][0]))
-    n = rows.count()
-    blocks = -(-n // VECTOR_BLOCK)
-    query_blocks = max(1, -(-n // (every * QUERY_BLOCK)))
-
-    def coded(frames):
-        for f in frames:
-            f["codes"] = [c.tobytes() for c in assign(np.array(f["vec"].tolist()), centres, eta)] if len(f) else []
-            yield f
-
-    index = materialise(rows.mapInPandas(coded, "vec_id long, vec array<double>, codes binary"), "index")
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("b")
-    query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int").alias("a")
-    asked = rows.filter(F.col("vec_id") % every == 0).select(
-        "vec_id", "vec", query_block, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b")
-    )
-    held = index.select("vec_id", "vec", "codes", block, F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("a"))
+    sample = table.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("vec").toArrow()
+    x = _matrix(sample.column("vec").combine_chunks())
+    index = fit_index(x, max(1, min(n // (UNIT // 2), SAMPLE // 32)), k)
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            if len(x):
+                u, norm = directions(x)
+                columns = [batch.column("row"), batch.column("vec_id"), pa.array(index.place(u).astype(np.int32))]
+                columns += [pa.array(norm), _packed(index.codes(u)), _packed(x)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "part", "norm", "codes", "vec"])
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("vec"))
+            if len(x):
+                to = index.route(x)
+                parts = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * to.shape[1], pa.array(to.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), _packed(x), parts], ["row", "vec_id", "vec", "parts"])
+
+    held = materialise(table.mapInArrow(indexed, "row long, vec_id long, part int, norm double, codes binary, vec binary"), "index")
+    asked = materialise(table.filter(F.col("vec_id") % every == 0).mapInArrow(routed, "row long, vec_id long, vec binary, parts array<int>"), "queries")
+    discard(table)
+    width = 8 * x.shape[1]
+    slots = 2 * spark.sparkContext.defaultParallelism
+    most = min(max(UNIT // 4, -(-n // slots)), max(UNIT, MEET // width))
+    blocks = {r["part"]: -(-r["count"] // most) for r in held.groupBy("part").count().collect()}  # a row a partition
+    query_blocks = max(1, -(-asked.count() * width // MEET))
+    split = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
+    queries = asked.select("row", "vec_id", "vec", F.explode("parts").alias("part"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("a"))
+    queries = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce(split[F.col("part")], F.lit(0)) - 1, F.lit(1))))
+    cell = ["part", "a", "b"]
+    rows = held.withColumn("b", F.pmod(F.xxhash64("row"), split[F.col("part")].cast("long")).cast("int"))
+    rows = rows.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
+    out = "query long, query_id long, row long, vec_id long, score double"
 
     def meet(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(c) == 0:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        c = c.sort_values("vec_id")
-        codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1)
-        return block_search(
-            q["vec_id"].to_numpy(), np.array(q["vec"].tolist()), c["vec_id"].to_numpy(), np.array(c["vec"].tolist()), codes, centres, k, rerank
-        )
-
-    near = asked.groupBy("a", "b").cogroup(held.groupBy("a", "b")).applyInPandas(meet, out)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            return pd.DataFrame({name.split()[0]: [] for name in out.split(", ")})
+        c = c.sort_values(["vec_id", "row"])
+        q_rows, q_ids, asked = q["row"].to_numpy(), q["vec_id"].to_numpy(), _read(q["vec"], np.float64)
+        parts = []
+        for lo in range(0, len(c), UNIT):
+            unit = c.iloc[lo : lo + UNIT]
+            rows, ids, x = unit["row"].to_numpy(), unit["vec_id"].to_numpy(), _read(unit["vec"], np.float64)
+            for i, near, exact in unit_search(q_rows, asked, rows, ids, x, _read(unit["codes"], np.uint8), unit["norm"].to_numpy(), index, k):
+                parts.append((np.full(len(near), q_rows[i]), np.full(len(near), q_ids[i]), rows[near], ids[near], exact))
+        names = [name.split()[0] for name in out.split(", ")]
+        return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) for j, name in enumerate(names)})
+
+    near = queries.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(meet, out)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

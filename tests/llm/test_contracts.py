@@ -185,3 +185,37 @@ def test_op10_awkward_vectors(spark, tmp_path):
     (tmp_path / "none").mkdir()
     df.limit(0).write.parquet(f"{tmp_path}/none/embeddings.parquet")
     assert queries.op10_nearest(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_op10_rows_of_one_id_are_candidates(spark):
+    from stepwell.llm import ann
+
+    rows = [(0, [1.0, 0.0]), (1, [10.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (0, [3.0, 0.0]), (7, [1.0, 0.0, 0.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(
+        [(0, 1, 1, 10.0), (0, 2, 0, 3.0), (0, 3, 1, 1.0), (0, 4, 2, 0.5)] + [(0, 1, 1, 30.0), (0, 2, 0, 3.0), (0, 3, 1, 3.0), (0, 4, 2, 1.5)]
+    )
+
+
+@pytest.mark.parametrize("kind", ["even", "uneven", "grouped"])
+def test_op10_recall_on_many_vectors(spark, kind):
+    from stepwell.llm import ann
+
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(12_000, 96)).astype(np.float32)
+    if kind == "uneven":
+        x *= rng.lognormal(0, 1, (len(x), 1)).astype(np.float32)
+    if kind == "grouped":
+        x = (0.4 * x + 3 * rng.normal(size=(30, 96))[rng.integers(0, 30, len(x))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(np.float64)
+    asked = np.arange(0, len(y), 20)
+    scores = y[asked] @ y.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-scores, 19, axis=1)[:, :20]
+    recall = np.mean([len(got[q] & set(t)) / 20 for q, t in zip(asked.tolist(), true.tolist())])
+    print(kind, "recall", round(float(recall), 4))
+    assert recall >= 0.9
