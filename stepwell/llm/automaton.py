@@ -155,15 +155,42 @@ class Automaton:
         return len(self.moves)
 
 
-def compile_rules(patterns: list[str], anchored: bool) -> Automaton:
-    """``anchored``: matches from the first byte on; else matches that end at a byte."""
+def _mirrored(node):
+    """The node for the same strings read backwards."""
+    if node[0] == "and":
+        return ("and", [_mirrored(x) for x in reversed(node[1])])
+    if node[0] == "or":
+        return ("or", [_mirrored(x) for x in node[1]])
+    return (node[0], _mirrored(node[1]), *node[2:]) if node[0] == "rep" else node
+
+
+def _skippable(node) -> bool:
+    """Whether what a match begins with may be left out."""
+    if node[0] == "and":
+        return not node[1] or _skippable(node[1][0])
+    if node[0] == "or":
+        return any(map(_skippable, node[1]))
+    return node[0] == "rep" and (node[2] == 0 or _skippable(node[1]))
+
+
+def compile_rules(patterns: list[str], anchored: bool, backward: bool = False) -> Automaton:
+    """One automaton for all rules.
+
+    ``anchored``: matches from the first byte on; else matches that end at a byte.
+    ``backward``: for bytes read from the last to the first, so ends become starts.
+    A pattern must need its first byte (no leading ``?`` or ``*``), else a match could
+    begin where the automaton seems to be at its start; such rules are refused.
+    """
     nfa = _Nfa()
     root = nfa.state()
     finals: dict[int, int] = {}
     for r, pattern in enumerate(patterns):
         head = nfa.state()
         nfa.empty[root].append(head)
-        finals[_build(nfa, _Parser(pattern).either(), head)] = 1 << r
+        tree = _Parser(pattern).either()
+        if not anchored and not backward and _skippable(tree):
+            raise ValueError(f"a match of {pattern} may begin with bytes that it does not need")
+        finals[_build(nfa, _mirrored(tree) if backward else tree, head)] = 1 << r
 
     def closure(states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -227,8 +254,8 @@ def scan(auto: Automaton, buf: np.ndarray, lanes: int = 4096) -> np.ndarray:
     padded[:n] = buf
     cells = np.ascontiguousarray(padded.reshape(lanes, width).T)
     states = np.empty((width, lanes), np.uint16)
-    table = (auto.moves * 256).astype(np.int64).ravel()
-    begin = np.zeros(lanes, np.int64)
+    table = (auto.moves * 256).astype(np.int32).ravel()
+    begin = np.zeros(lanes, np.int32)
     todo = np.arange(lanes)
     while len(todo):
         now = begin[todo]
@@ -239,33 +266,97 @@ def scan(auto: Automaton, buf: np.ndarray, lanes: int = 4096) -> np.ndarray:
                 states[t] = now >> 8
             else:
                 states[t, todo] = now >> 8
-        after = states[-1].astype(np.int64) * 256
+        after = states[-1].astype(np.int32) * 256
         wrong = np.flatnonzero(after[:-1] != begin[1:]) + 1
         begin[wrong] = after[wrong - 1]
         todo = wrong
     return states.T.reshape(-1)[:n]
 
 
-class Matcher:
-    """An anchored automaton as plain lists, for short stretches of text."""
+#: Lanes from which on bytes are stepped together.
+_WIDE = 24
+
+
+class Runner:
+    """The anchored automaton of all rules, run from given starts."""
 
     def __init__(self, auto: Automaton) -> None:
-        self.moves, self.accepts = auto.moves.tolist(), auto.accepts.tolist()
+        self.auto = auto
         dead = [s for s in range(auto.size) if not auto.accepts[s] and (auto.moves[s] == s).all()]
         self.dead = dead[0] if dead else -1
+        self.moves, self.accepts = auto.moves.tolist(), auto.accepts.tolist()
 
-    def matches(self, text: bytes) -> list[tuple[int, int]]:
-        """Leftmost longest non-overlapping matches."""
-        found, at = [], 0
-        while at < len(text):
-            state, end = 0, -1
-            for i in range(at, len(text)):
-                state = self.moves[state][text[i]]
-                if state == self.dead:
+    def ends(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, rule: np.ndarray) -> np.ndarray:
+        """End of the longest match of each start's rule before its stop (the start itself: none)."""
+        end, state, at = start.copy(), np.zeros(len(start), np.int64), start.copy()
+        lanes = np.flatnonzero(at < stop)
+        while len(lanes) > _WIDE:
+            now = self.auto.moves[state[lanes], buf[at[lanes]]]
+            at[lanes] += 1
+            state[lanes] = now
+            hit = lanes[(self.auto.accepts[now] >> rule[lanes]) & 1 > 0]
+            end[hit] = at[hit]
+            lanes = lanes[(now != self.dead) & (at[lanes] < stop[lanes])]
+        for i in lanes.tolist():
+            now, bit, a = int(state[i]), int(rule[i]), int(at[i])
+            for j, b in enumerate(buf[a : stop[i]].tobytes(), a + 1):
+                now = self.moves[now][b]
+                if now == self.dead:
                     break
-                if self.accepts[state]:
-                    end = i + 1
-            if end > at:
-                found.append((at, end))
-            at = max(at + 1, end)
-        return found
+                if self.accepts[now] >> bit & 1:
+                    end[i] = j
+        return end
+
+
+class RuleSet:
+    """All rules in one automaton: spans from one pass over the bytes and looks at what it marks."""
+
+    def __init__(self, patterns: list[str]) -> None:
+        self.count = len(patterns)
+        self.forward = compile_rules(patterns, anchored=False)
+        self.backward = compile_rules(patterns, anchored=False, backward=True)
+        self.runner = Runner(compile_rules(patterns, anchored=True))
+
+    def stretches(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pass leaves its start state, comes back, and saw a match end between: from, to."""
+        states = scan(self.forward, buf)
+        hits = np.flatnonzero(self.forward.accepts[states] != 0)
+        edge = np.flatnonzero(np.diff(np.r_[0, (states != 0).astype(np.int8), 0]))
+        lo, hi = edge[0::2], edge[1::2]
+        held = np.unique(np.searchsorted(lo, hits, side="right") - 1)
+        return lo[held], hi[held]
+
+    def spans(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rule, start, end) of the leftmost longest matches that don't overlap, for each rule.
+
+        The backward automaton marks all starts of matches in the stretches; from the
+        first start of each rule and stretch the anchored one finds the end, and the next
+        start behind it follows.
+        """
+        none = np.zeros(0, np.int64)
+        lo, hi = self.stretches(buf) if len(buf) else (none, none)
+        if len(lo) == 0:
+            return none, none, none
+        size = hi - lo + 1  # a byte that no rule holds parts the stretches
+        edge = np.cumsum(size)
+        place = np.repeat(lo - (edge - size), size) + np.arange(edge[-1])
+        part = buf[np.minimum(place, len(buf) - 1)].copy()
+        part[edge - 1] = 0xFF
+        marks = self.backward.accepts[scan(self.backward, part[::-1].copy())][::-1]
+        rules, starts, ends = [none], [none], [none]
+        for r in range(self.count):
+            at = np.sort(place[np.flatnonzero((marks >> r) & 1)])
+            which = np.searchsorted(lo, at, side="right") - 1
+            first = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(at) else none
+            now, stop = at[first], hi[which[first]]
+            while len(now):
+                end = self.runner.ends(buf, now, stop, np.full(len(now), r))
+                found = end > now
+                rules.append(np.full(int(found.sum()), r))
+                starts.append(now[found])
+                ends.append(end[found])
+                after = np.searchsorted(at, np.maximum(end, now + 1))
+                more = after < len(at)
+                more[more] = at[after[more]] < stop[more]
+                now, stop = at[after[more]], stop[more]
+        return np.concatenate(rules), np.concatenate(starts), np.concatenate(ends)

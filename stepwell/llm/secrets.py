@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,12 +14,16 @@ from stepwell.llm.common import documents
 
 #: kind, pattern, least length of the value after the separator, least length in all.
 #: Lengths are checked on whole matches, which keeps counters out of the automaton.
+#: The first three are the base kinds; the others are public token formats.  Every rule
+#: with an open end about doubles the states, since it may be under way beside the others.
 RULES = (
     ("assign", "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?[A-Za-z0-9+/_.=-]+", 6, 0),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
-    ("forge", "gh[opsru]_[A-Za-z0-9]+", 0, 24),
+    ("forge", "(?:gh[opsru]_|github_pat_|glpat-)[A-Za-z0-9_-]+", 0, 24),
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("chat", "xox[abeprs]-[A-Za-z0-9-]+", 0, 20),
+    ("payment", "[rs]k_(?:live|test)_[0-9A-Za-z]+", 0, 24),
 )
 
 
@@ -30,41 +35,31 @@ def _value_length(match: bytes) -> int:
 
 
 class Scanner:
+    """Rules compiled once; sent to the tasks as transition arrays."""
+
     def __init__(self, rules=RULES) -> None:
         self.rules = rules
-        self.all = automaton.compile_rules([r[1] for r in rules], anchored=False)
-        self.each = [automaton.Matcher(automaton.compile_rules([p], anchored=True)) for _, p, _, _ in rules]
+        self.automaton = automaton.RuleSet([r[1] for r in rules])
 
     def spans(self, buf: np.ndarray, row_start: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """row -> (start, rule, end) in bytes of the row, sorted."""
+        """row -> (start, rule, end) in bytes of the row."""
         found: dict[int, list[tuple[int, int, int]]] = {}
-        if len(buf) == 0:
-            return found
-        states = automaton.scan(self.all, buf)
-        hits = np.flatnonzero(self.all.accepts[states] != 0)
-        if len(hits) == 0:
-            return found
-        rest = np.flatnonzero(states == 0)  # no match of any rule crosses a start state
-        after = np.searchsorted(rest, hits)
-        lo = np.where(after > 0, rest[np.maximum(after - 1, 0)] + 1, 0)
-        hi = np.where(after < len(rest), rest[np.minimum(after, len(rest) - 1)], len(buf)) if len(rest) else np.full(len(hits), len(buf))
-        runs = np.unique(lo)
-        group = np.searchsorted(runs, lo)
-        ends = hi[np.searchsorted(lo, runs)]
-        which = np.zeros(len(runs), np.int64)
-        np.bitwise_or.at(which, group, self.all.accepts[states[hits]])
-        rows = np.searchsorted(row_start, runs, side="right") - 1
-        for a, b, rules, row in zip(runs.tolist(), ends.tolist(), which.tolist(), rows.tolist()):
-            text = buf[a:b].tobytes()
-            base = a - int(row_start[row])
-            for r, (_, _, least, size) in enumerate(self.rules):
-                if rules >> r & 1:
-                    for s, e in self.each[r].matches(text):
-                        if e - s >= size and (not least or _value_length(text[s:e]) >= least):
-                            found.setdefault(row, []).append((base + s, r, base + e))
+        rule, start, end = self.automaton.spans(buf)
+        value, whole = (np.array([r[k] for r in self.rules])[rule] for k in (2, 3))
+        long = end - start >= whole
+        rows = np.searchsorted(row_start, start, side="right") - 1
+        for row, r, s, e, least in zip(*(x[long].tolist() for x in (rows, rule, start, end, value))):
+            if not least or _value_length(buf[s:e].tobytes()) >= least:
+                base = int(row_start[row])
+                found.setdefault(row, []).append((s - base, r, e - base))
         return found
 
 
+@functools.cache
+def standard() -> Scanner:
+    return Scanner()
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, uid, spans: array of (kind, start, end), code points, end exclusive.
 
@@ -72,7 +67,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty texts have none.  Rows stay as they are, repeated ones and null ids included;
     extra columns are ignored; the table may be empty.
     """
-    scanner = Scanner()
+    scanner = standard()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [r[0] for r in scanner.rules]
