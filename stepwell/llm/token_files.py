@@ -1,8 +1,9 @@
 """Token-id files: Re-Pair grammars per shard with random-access decoding.
 
-A shard holds about ``SHARD`` ids of consecutive documents.  Its most frequent id pairs
-are replaced by nonterminals, round after round; a round names its most frequent pairs
-and replaces each where it outranks its neighbours.  No pair crosses a document's end.
+A shard holds about ``SHARD`` ids of consecutive documents.  Its frequent id pairs are
+replaced by nonterminals, round after round, until none is left that saves room or the
+16-bit symbols run out; a round names its frequent pairs and replaces each where it
+outranks its neighbours.  No pair crosses a document's end.
 The file keeps the ids used, the rules (left, right), the expansion length of every
 rule, the remaining symbols, and per document its symbols and tokens, so a document or
 a range of its tokens is decoded from its own symbols alone.
@@ -25,11 +26,8 @@ from stepwell.llm import pieces, textbuf
 from stepwell.llm.common import documents, shared_dir
 
 SHARD = 1 << 20
-ROUNDS = 5
-RULES_A_ROUND = 4096
-LEAST = 8
-_TABLE = 1 << 17
-_SPREAD = np.uint32(2654435769)
+#: A rule takes the room of four symbols in the file, so rarer pairs cost more than they save.
+LEAST = 5
 FILE_SCHEMA = (
     "shard long, n_tokens long, terminals binary, rules binary, lengths binary, symbols binary, "
     "doc_ids array<long>, uids array<long>, doc_symbols array<int>, doc_tokens array<int>"
@@ -52,8 +50,15 @@ class Grammar:
         return out
 
 
-def compress(ids: np.ndarray, doc_ends: np.ndarray, rounds: int = ROUNDS) -> Grammar:
-    """Re-Pair over uint16 symbols; ids are uint32, doc_ends count ids."""
+def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Grammar:
+    """Re-Pair over uint16 symbols; ids are uint32, doc_ends count ids.
+
+    Pairs inside documents that occur ``least`` times or more are replaced, the more
+    frequent of overlapping ones first, until a round replaces none or all symbols are
+    named.  A pair that is not frequent never becomes so again unless a new symbol makes
+    it, so after the first round only places beside new symbols, and those that lost to a
+    neighbour, are looked at.
+    """
     seen = np.zeros(int(ids.max()) + 1 if len(ids) else 1, bool)
     seen[ids] = True
     terminals = np.flatnonzero(seen).astype(np.uint32)
@@ -62,49 +67,56 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, rounds: int = ROUNDS) -> Gra
     seq = name[ids]
     last = np.zeros(len(ids), bool)
     last[doc_ends[doc_ends > 0] - 1] = True
+    live = np.ones(len(ids), bool)
     rules: list[np.ndarray] = []
     size = len(terminals)
-    for _ in range(rounds):
-        room = min(RULES_A_ROUND, (1 << 16) - size)
-        if room <= 0 or len(seq) < 2:
-            break
-        key = (seq[:-1] << np.uint32(16)) | seq[1:]
-        order = np.sort(key)
-        edge = np.empty(len(order), bool)
-        edge[0] = True
-        np.not_equal(order[1:], order[:-1], out=edge[1:])
-        first = np.flatnonzero(edge)
-        n = np.diff(np.append(first, len(order)))
-        often = np.flatnonzero(n >= LEAST)
+    while size < 1 << 16:
+        at = np.flatnonzero(live[:-1] & ~last[:-1])
+        key = (seq[at].astype(np.uint64) << np.uint64(48)) | (seq[at + 1].astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+        key.sort()
+        pair, at = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(pair)))
+        often = np.flatnonzero(n >= least)
+        often = often[np.argsort(n[often], kind="stable")][-((1 << 16) - size) :]
         if len(often) == 0:
             break
-        if len(often) > room:
-            often = often[np.argpartition(-n[often], room - 1)[:room]]
-        often = often[np.argsort(n[often], kind="stable")]  # the most frequent is written last
-        named = order[first[often]]
-        table = np.full(_TABLE, -1, np.int32)
-        table[((named * _SPREAD) >> np.uint32(15)).astype(np.intp)] = np.arange(len(named))  # a slot keeps its most frequent pair
-        rank = table.take(((key * _SPREAD) >> np.uint32(15)).astype(np.intp))
-        rank[named.take(rank, mode="wrap") != key] = -1
-        rank[last[:-1]] = -1
-        ahead = np.empty_like(rank)
-        ahead[:-1], ahead[-1] = rank[1:], -1
-        pick = (rank >= 0) & (rank >= ahead)
-        pick[1:] &= rank[1:] > rank[:-1]
-        at = np.flatnonzero(pick)
-        used = np.zeros(len(named), bool)
-        used[rank[at]] = True
-        kept = np.flatnonzero(used)[::-1]
-        fresh = np.zeros(len(named), np.uint32)
+        group = np.full(len(n), -1, np.int32)
+        group[often] = np.arange(len(often))
+        group = np.repeat(group, n)
+        rank = np.full(len(seq) + 2, -1, np.int32)  # one more at both ends
+        rank[at[group >= 0] + 1] = group[group >= 0]
+        at = np.flatnonzero(rank >= 0)
+        # in a run of one pair every second place is free, if the run outranks both neighbours
+        head = np.ones(len(at), bool)
+        head[1:] = (at[1:] != at[:-1] + 1) | (rank[at[1:]] != rank[at[:-1]])
+        begin = np.flatnonzero(head)
+        length = np.diff(np.append(begin, len(at)))
+        top = (rank[at[begin] - 1] < rank[at[begin]]) & (rank[at[begin] + length] < rank[at[begin]])
+        even = (np.arange(len(at)) - np.repeat(begin, length)) % 2 == 0
+        pick = at[np.repeat(top, length) & even]
+        used = np.bincount(rank[pick], minlength=len(often))
+        pick = pick[used[rank[pick]] >= least]
+        if len(pick) == 0:
+            break
+        kept = np.flatnonzero(used >= least)[::-1]
+        fresh = np.zeros(len(often), np.uint32)
         fresh[kept] = size + np.arange(len(kept))
-        rules.append(np.column_stack([named[kept] >> np.uint32(16), named[kept] & np.uint32(0xFFFF)]))
-        seq[at] = fresh[rank[at]]
-        last[at] = last[at + 1]
+        named = pair[first[often[kept]]]
+        rules.append(np.column_stack([named >> np.uint64(16), named & np.uint64(0xFFFF)]))
+        live = rank[1:-1] >= 0
+        pick -= 1
+        seq[pick] = fresh[rank[pick + 1]]
+        last[pick] = last[pick + 1]
+        live[pick] = True
+        live[pick[pick > 0] - 1] = True
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
+        stay[pick + 1] = False
+        # the place before a new symbol may itself be the second half of one
+        live[pick[pick > 1] - 2] |= ~stay[pick[pick > 1] - 1]
+        seq, last, live = seq[stay], last[stay], live[stay]
         size += len(kept)
-    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)
     # documents without ids end where the one before does
     ends = np.concatenate([[0], np.flatnonzero(last) + 1])[np.cumsum(np.diff(doc_ends, prepend=0) > 0)]
     return Grammar(terminals, flat.astype(np.uint16), seq.astype(np.uint16), ends)
