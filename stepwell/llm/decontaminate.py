@@ -3,6 +3,8 @@
 DataFrame operations only.  A document row is exploded into its windows inside one
 generated-code stage (word list -> windows -> hash probe), so only hits are
 shuffled; a sentinel row per document carries its word count through the same scan.
+The set is broadcast only while its bytes are within MAX_BROADCAST.  A larger one meets
+the windows in a shuffle of bare keys; only candidates fetch their words for the check.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from stepwell.llm.common import checked_broadcast, documents, materialise, row_u
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: n-grams that may be broadcast: about 100 bytes each.
-MAX_BROADCAST = 1_000_000
+#: Bytes of n-grams and item names that may be broadcast.
+MAX_BROADCAST = 64 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -61,18 +63,25 @@ def find_hits(
     (a null id cannot be named).  Either table may be empty.
     """
     grams = benchmark_grams(benchmark.filter(benchmark[item_col].isNotNull()), item_col, item_text, n)
-    texts = grams.groupBy("m", "gram").agg(F.collect_set("item").alias("owners"))
+    grams = materialise(grams, "grams")
+    size = F.octet_length("gram") + F.octet_length("item") + 64
     lengths = sorted(r.m for r in grams.select("m").distinct().collect())  # at most n values
-    small = grams.count() <= MAX_BROADCAST
+    small = (grams.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST
+    base = documents(docs, id_col, text_col).select("doc_id", "uid", words(F.col("text")).alias("w"))
+    return _by_broadcast(base, grams, lengths) if small or not lengths else _by_shuffle(base, grams, lengths)
+
+
+def _probe(grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """The n-grams with the keys of their words."""
     key = F.lit(None).cast("long")
     for m in lengths:
         key = F.when(F.col("m") == m, F.xxhash64(F.lit(m), *[F.get("w", F.lit(j)) for j in range(m)])).otherwise(key)
-    probe = texts.withColumn("w", F.split("gram", " ")).select(
-        key.alias("probe_key"), F.col("m").alias("length"), "gram", "owners"
-    )
-    probe = F.broadcast(probe) if small else probe
+    return grams.withColumn("w", F.split("gram", " ")).withColumn("probe_key", key).withColumnRenamed("m", "length").drop("w")
 
-    base = documents(docs, id_col, text_col).select("doc_id", "uid", words(F.col("text")).alias("w"))
+
+def _by_broadcast(base: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    texts = grams.groupBy("m", "gram").agg(F.collect_set("item").alias("owners"))
+    probe = F.broadcast(_probe(texts, lengths))
     windows = base.select("doc_id", "uid", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("i"))
     keys = [F.when((F.col("i") >= 0) & (F.col("i") + m <= F.size("w")), _key(m)) for m in lengths]
     if len(keys) > 1:
@@ -95,6 +104,30 @@ def find_hits(
     )
 
 
+def _by_shuffle(base: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
+    """Keys without words meet first; candidates are confirmed on their words, and only then named."""
+    probe = materialise(_probe(grams.select("m", "gram").distinct(), lengths), "probe")
+    keys = F.array(*[F.when(F.col("i") + m <= F.size("w"), F.struct(F.lit(m).alias("length"), _key(m).alias("key"))) for m in lengths])
+    windows = base.filter(F.size("w") > 0).select("uid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    windows = windows.select("uid", "i", F.explode(keys).alias("x")).filter("x IS NOT NULL").select("uid", "i", "x.*")
+    known = probe.select(F.col("probe_key").alias("key"), "length").distinct()
+    found = materialise(windows.join(materialise(known, "keys"), ["key", "length"]).select("uid", "i", "length"), "candidates")
+    places = materialise(found.groupBy("uid").agg(F.collect_set(F.struct("i", "length")).alias("at")), "places")
+    said = lambda x: F.array_join(F.slice("w", x["i"] + 1, x["length"]), " ")
+    at = F.transform("at", lambda x: F.struct(x["i"].alias("i"), x["length"].alias("length"), said(x).alias("gram")))
+    texts = base.join(places, "uid").select("uid", F.explode(at).alias("x")).select("uid", "x.*")
+    sure = materialise(texts.join(probe.select("length", "gram"), ["length", "gram"]).distinct(), "confirmed")
+    spans = sure.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("start"), "length"))).alias("spans"))
+    named = sure.select("uid", "length", "gram").distinct().join(grams.withColumnRenamed("m", "length"), ["length", "gram"])
+    items = named.select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    counts = base.groupBy("doc_id", "uid").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").cast("int").alias("n_rows"))
+    out = counts.join(spans, "uid", "left").join(items, "uid", "left")
+    none = F.array().cast(spans.schema["spans"].dataType)
+    return out.select(
+        "doc_id", "uid", "n_rows", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
+
+
 def covered(spans: Column) -> Column:
     """Words in the union of sorted spans."""
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach"))
@@ -108,7 +141,13 @@ def covered(spans: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text holds no benchmark window."""
-    hits = find_hits(docs, benchmark, n=n).filter(F.size("spans") > 0).select(F.col("uid").alias("hit_uid")).distinct()
+    """The rows of ``docs`` (all columns) whose text holds no benchmark window.
+
+    Rows with null or empty texts, and repeated rows without a window, stay; null ids are
+    ids like any other; either table may be empty.
+    """
+    hits = find_hits(docs, benchmark, n=n).filter(F.size("spans") > 0).select("uid").distinct()
     hits = checked_broadcast(materialise(hits, "hits"))
-    return docs.join(hits, row_uid(docs) == hits["hit_uid"], "left_anti")
+    # the table's own columns travel in one struct, so that no name can clash
+    held = docs.select(F.struct("*").alias("row"), row_uid(docs).alias("uid"))
+    return held.join(hits, "uid", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

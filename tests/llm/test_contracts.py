@@ -83,7 +83,12 @@ def test_op3_secret_scan(spark, case):
         assert [int(s.split(":")[1]) for s in spans] == sorted(int(s.split(":")[1]) for s in spans)
 
 
-def test_op5_decontaminate(spark, case):
+@pytest.mark.parametrize("most", [None, 0])
+def test_op5_decontaminate(spark, case, most, monkeypatch):
+    from stepwell.llm import decontaminate
+
+    if most is not None:
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", -1)
     sf_dir, rows = case
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = by_id(QUERIES["op5_decontaminate"](spark, sf_dir))
