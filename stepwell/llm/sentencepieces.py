@@ -54,6 +54,11 @@ class Model:
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.skip = len(sp.encode(_APART))
+        if self.most > REACH:
+            raise ValueError(f"a piece of {self.most} characters is longer than what chunks carry of their neighbours ({REACH})")
+        probe = "\ufb01 \uff21  \u00b2 e\u0301"
+        if sp.decode(sp.encode(probe)) != probe:
+            raise ValueError("the model normalises texts; only models that leave them as they are can be cut into chunks")
         self.keep, self.known, self.pairs = keep, {}, {}
 
     def alone(self, text: str) -> list[int]:

@@ -208,18 +208,23 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, find=near_duplicates, **options) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stand for their component: one each."""
+    """The rows of ``docs`` (all columns) that stand for their component: one each.
+
+    The least doc_id stays; of rows with one id the least uid; of equal rows one.  Rows
+    without an id go if a row with one is in their component, else they all stay.  Null and
+    empty texts are texts like any other, so one of them stays; an empty table stays empty.
+    """
     found = materialise(find(docs, **options).select("doc_id", "uid", "component_id"), "components")
     first = F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("keep_uid")
-    tops = found.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1")
-    again = found.join(tops, "component_id")
-    lost = checked_broadcast(materialise(again.filter("uid <> keep_uid").select(F.col("uid").alias("lost_uid")).distinct(), "lost"))
-    twice = again.filter("uid = keep_uid").groupBy("uid").count().filter("count > 1").select(F.col("uid").alias("twice_uid"))
-    twice = checked_broadcast(materialise(twice, "twice"))
-    held = docs.withColumn("_uid", row_uid(docs))
-    held = held.join(lost, held["_uid"] == lost["lost_uid"], "left_anti")
-    same = held["_uid"] == twice["twice_uid"]
-    return held.join(twice, same, "left_anti").union(held.join(twice, same, "left_semi").dropDuplicates(["_uid"])).drop("_uid")
+    tops = materialise(found.groupBy("component_id").agg(first, F.count("*").alias("n")).filter("n > 1"), "tops")
+    again = found.join(tops, "component_id").select("uid", "keep_uid")
+    lost = checked_broadcast(materialise(again.filter("uid <> keep_uid").select("uid").distinct(), "lost"))
+    twice = materialise(again.filter("uid = keep_uid").groupBy("uid").count().filter("count > 1").select("uid"), "twice")
+    twice = checked_broadcast(twice)
+    # the table's own columns travel in one struct, so that no name can clash
+    held = docs.select(F.struct("*").alias("row"), row_uid(docs).alias("uid")).join(lost, "uid", "left_anti")
+    kept = held.join(twice, "uid", "left_anti").union(held.join(twice, "uid", "left_semi").dropDuplicates(["uid"]).select("uid", "row"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def fingerprint_hex(column: str = "fp"):

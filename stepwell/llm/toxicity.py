@@ -159,11 +159,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
             F.col("toxic").cast("int").alias("toxic"),
         )
         .dropna()
+        .distinct()
         .orderBy(F.xxhash64("label_id"), "label_id", "low_quality", "toxic")
         .limit(sample)
     )
     base = documents(docs)
-    rows = base.join(F.broadcast(chosen), base["doc_id"] == chosen["label_id"]).select("uid", "text", *CHAIN)
+    rows = base.join(F.broadcast(chosen), base["doc_id"] == chosen["label_id"])
+    # of several texts with one id the one of the least uid, so no more rows than labels
+    rows = rows.groupBy("label_id", *CHAIN).agg(F.min(F.struct("uid", "text")).alias("x")).select("x.uid", "x.text", *CHAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,7 +218,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and the columns beside them) that are not rejected."""
+    """The rows of ``docs`` (doc_id, text and the columns beside them) that are not rejected.
+
+    Null texts are empty ones; repeated rows are judged alike; null ids are never labelled;
+    without labels, or with an empty table, all rows stay.
+    """
     row, word, y = labelled_sample(docs, labels, options.get("sample", SAMPLE))
     chain = fit_chain(row, word, y) if len(y) else []
     threshold = options.get("threshold", THRESHOLD)
