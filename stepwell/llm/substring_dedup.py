@@ -29,8 +29,9 @@ from stepwell.llm import textbuf
 from stepwell.llm.common import MAX_KEYS, discard, documents, materialise
 
 
-#: Branches of one prefix that are built as a tree; beyond it the prefix is lengthened.
-GROUP = 2048
+#: Branches of one prefix that are built as a tree, of about 500 bytes each: 8 MB of text
+#: and some 150 MB of ranks.  Beyond it the prefix is lengthened.
+GROUP = 1 << 14
 #: Values of bytes for a second, independent hash of words.
 _OTHER = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
 

@@ -29,7 +29,7 @@ def documents(seed: int):
     return rows
 
 
-@pytest.mark.parametrize("group", [0, 20, 2048])
+@pytest.mark.parametrize("group", [0, 20, substring_dedup.GROUP])
 def test_groups_and_lengthened_prefixes(spark, group):
     rows = documents(group)
     got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()
