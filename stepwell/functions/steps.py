@@ -34,7 +34,7 @@ def bash_command(calls: Column) -> Column:
 
 def command_segments(command: Column) -> Column:
     """Parts between && || | ; (quotes are not looked at), trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(command, r"&&|\|\||[|;]"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(command, r"&&|\|\||[|;]"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _segment_verb(segment: Column) -> Column:
@@ -103,20 +103,59 @@ def observation_chars(contents: Column) -> Column:
 
     def one(text: Column) -> Column:
         output = F.try_variant_get(F.try_parse_json(text), "$.output", "string")
-        return F.coalesce(F.length(output), F.length(text), F.lit(0)).cast("bigint")
+        held = F.length(F.coalesce(output, F.lit("None")))  # a null output is written as None
+        known = F.try_variant_get(F.try_parse_json(text), "$.output", "variant").isNotNull()
+        return F.when(known, held).otherwise(F.coalesce(F.length(text), F.lit(0))).cast("bigint")
 
     return F.coalesce(F.aggregate(F.transform(contents, one), F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(0).cast("bigint"))
 
 
 def operator_family(calls: Column) -> Column:
-    """Sorted distinct call names joined by +; a bash call names its verb."""
-    verb = bash_verb(bash_command(calls))
-    bash = F.concat(F.lit("bash:"), F.when(verb == "", "shell").otherwise(verb))
-    names = F.transform(calls, lambda c: F.when(c["function_name"] == "bash", bash).otherwise(c["function_name"]))
-    joined = F.array_join(F.array_sort(F.array_distinct(names)), "+")
+    """Sorted distinct call names joined by +; every bash call names its own verb, a null name is unknown."""
+
+    def name(c: Column) -> Column:
+        verb = bash_verb(F.coalesce(F.try_element_at(c["arguments"], F.lit("command")), F.lit("")))
+        bash = F.concat(F.lit("bash:"), F.when(verb == "", "shell").otherwise(verb))
+        plain = F.coalesce(F.nullif(c["function_name"], F.lit("")), F.lit("unknown"))
+        return F.when(plain == "bash", bash).otherwise(plain)
+
+    joined = F.array_join(F.array_sort(F.array_distinct(F.transform(calls, name))), "+")
     return F.when(F.coalesce(F.size(calls), F.lit(0)) > 0, joined).otherwise("action")
 
 
+def is_idempotent(kind: Column) -> Column:
+    """Every step that doesn't write."""
+    return kind != "write"
+
+
+def step_files(calls: Column, known: Column | None = None) -> Column:
+    """Sorted files of a step: those of its command, or ``known`` ones instead, and arguments named as a place."""
+    place = lambda k, v: F.lower(k).rlike("file|path|cwd|dir") & v.isNotNull()
+    extra = F.flatten(F.transform(calls, lambda c: F.coalesce(F.map_values(F.map_filter(c["arguments"], place)), F.array().cast("array<string>"))))
+    own = files_touched(bash_command(calls))
+    own = own if known is None else F.coalesce(known, own)
+    return F.array_sort(F.array_distinct(F.concat(own, F.coalesce(extra, F.array().cast("array<string>")))))
+
+
+def step_meta(calls: Column, contents: Column, known: Column | None = None) -> Column:
+    """Rule fields of a step; fields that ``known`` holds (a struct, nulls are absent) win."""
+    command = bash_command(calls)
+
+    def field(name: str, rule: Column) -> Column:
+        return rule if known is None else F.coalesce(known[name], rule)
+
+    kind = op_type(command)
+    success = field("success", step_success(contents))
+    return F.struct(
+        field("op_type", kind).alias("op_type"),
+        success.alias("success"),
+        field("op_state", F.when(success, "success").otherwise("fail")).alias("op_state"),
+        is_idempotent(kind).alias("idempotent"),
+        bash_verbs(command).alias("bash_verbs"),
+        step_files(calls, None if known is None else known["files_touched"]).alias("files_touched"),
+    )
+
+
 def text_op_state(text: Column) -> Column:
     """success if all stated return codes are zero; without any, if no error mark occurs."""
     codes = F.regexp_extract_all(text, F.lit(r"returncode:\s*(-?\d+)"), F.lit(1))
@@ -127,12 +166,78 @@ def text_op_state(text: Column) -> Column:
     return F.when(F.size(codes) > 0, F.when(zero, "success").otherwise("fail")).otherwise(F.when(marked, "fail").otherwise("success"))
 
 
-def dependency_list(text: Column) -> Column:
-    """Last [...] of a reply as integers; null if there is none or an entry is no integer."""
-    inner = F.element_at(F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1)), -1)
-    parts = F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != "")
-    numbers = F.transform(parts, lambda x: x.try_cast("int"))
-    return F.when(F.size(F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1))) > 0, F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers))
+def _bounded(numbers: Column, most: Column | int) -> Column:
+    """Distinct numbers of 0 .. most, with 0 at the end if it is absent and most allows it."""
+    top = F.lit(most) if isinstance(most, int) else most
+    fine = F.array_distinct(F.filter(numbers, lambda x: (x >= 0) & (x <= top)))
+    return F.when(F.array_contains(fine, 0) | (top < 0), fine).otherwise(F.concat(fine, F.array(F.lit(0))))
+
+
+def dependency_list(text: Column, most: Column | int) -> Column:
+    """The last [...] of a reply as integers of 0 .. most, first occurrences, 0 added.
+
+    Null where there is no list or an entry is no integer: such replies are set aside.
+    Quoted integers and floats count, floats cut to integers, as do True and False.
+    """
+    found = F.regexp_extract_all(text, F.lit(r"\[([^\[\]]*)\]"), F.lit(1))
+    parts = F.transform(F.split(F.regexp_replace(F.element_at(found, -1), r",\s*$", ""), ","), lambda x: F.trim(x))
+    parts = F.when(F.trim(F.element_at(found, -1)) == "", F.array().cast("array<string>")).otherwise(parts)
+
+    def number(x: Column) -> Column:
+        bare = F.regexp_replace(x, r"^(['\"])\s*([+-]?\d+)\s*\1$", "$2")
+        truth = F.when(x == "True", 1).when(x == "False", 0)
+        whole = F.when(bare.rlike(r"^[+-]?\d+$"), bare.try_cast("int"))
+        real = F.when(x.rlike(r"^[+-]?(\d+\.\d*|\.\d+)$"), x.try_cast("double").try_cast("int"))
+        return F.coalesce(truth, whole, real)
+
+    numbers = F.transform(parts, number)
+    good = F.forall(numbers, lambda x: x.isNotNull())
+    return F.when((F.size(found) > 0) & good, _bounded(numbers, most))
+
+
+def annotation(text: Column, most: Column | int) -> tuple[Column, Column]:
+    """Dependencies and kind of a reply {dependencies or deps, op_type or operation_type}; a bare list has no kind.
+
+    An object without dependencies depends on the start alone.  Kinds beyond the four are null.
+    """
+    body = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    parsed = F.try_parse_json(F.nullif(body, F.lit("")))
+    whole = F.schema_of_variant(parsed).startswith("OBJECT")
+    value = lambda path, kind: F.try_variant_get(parsed, path, kind)
+    listed = F.coalesce(value("$.dependencies", "string"), value("$.deps", "string"))
+    none = F.array().cast("array<int>")
+    deps = F.when(whole, F.when(listed.isNull(), _bounded(none, most)).otherwise(dependency_list(listed, most)))
+    kind = F.lower(F.trim(F.coalesce(value("$.op_type", "string"), value("$.operation_type", "string"))))
+    fine = F.when(kind.isin("read", "write", "verify", "explore"), kind)
+    return F.when(F.coalesce(whole, F.lit(False)), deps).otherwise(dependency_list(text, most)), fine
+
+
+def clip(text: Column, most: int) -> Column:
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("...<truncated>"))).otherwise(text)
+
+
+def rendered_result(content: Column) -> Column:
+    """Return code, output and exception of a JSON result, a line each; other contents as they are."""
+    parsed = F.try_parse_json(content)
+    get = lambda f: F.try_variant_get(parsed, f"$.{f}", "string")
+    line = lambda f: F.when(F.coalesce(get(f), F.lit("")) != "", F.concat(F.lit(f"{f}: "), get(f)))
+    lines = F.concat_ws("\n", F.when(get("returncode").isNotNull(), F.concat(F.lit("returncode: "), get("returncode"))), line("output"), line("exception_info"))
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT") & (lines != ""), lines).otherwise(content)
+
+
+def clipped_observation(contents: Column, most: int = 800) -> Column:
+    return clip(F.array_join(F.transform(contents, rendered_result), "\n"), most)
+
+
+def shared_observation(contents: Column, budget: int) -> Column:
+    """Every result gets an equal share of the budget, 80 characters at least; the whole is clipped again."""
+    share = F.greatest(F.lit(80), F.floor(F.lit(budget) / F.greatest(F.lit(1), F.size(contents)))).cast("int")
+
+    def one(text: Column) -> Column:
+        whole = rendered_result(text)
+        return F.when(F.length(whole) > share, F.concat(F.substring(whole, F.lit(1), share), F.lit("...<truncated>"))).otherwise(whole)
+
+    return clip(F.array_join(F.transform(contents, one), "\n"), budget)
 
 
 def truncate_output(text: Column, limit: int) -> Column:

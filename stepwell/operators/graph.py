@@ -18,18 +18,18 @@ def _trials(steps: DataFrame) -> DataFrame:
     )
 
 
-def closure(steps: DataFrame) -> DataFrame:
-    """(trial_id, keep): positions the last step depends on, itself included, 0 left out.
+def closure_of(nodes: Column, last: Column) -> Column:
+    """Positions that ``last`` depends on, itself included, 0 left out; nodes are sorted (i, deps, ...).
 
     Edges point backwards, so one scan from the last position to the first is enough.
     """
-    order = F.reverse(F.col("nodes"))
-    reach = F.aggregate(
-        order,
-        F.array(F.col("n")),
-        lambda keep, x: F.when(F.array_contains(keep, x["i"]), F.array_union(keep, x["deps"])).otherwise(keep),
-    )
-    return _trials(steps).select("trial_id", F.array_sort(F.array_remove(reach, 0)).alias("keep"))
+    step = lambda keep, x: F.when(F.array_contains(keep, x["i"]), F.array_union(keep, x["deps"])).otherwise(keep)
+    return F.array_sort(F.array_remove(F.aggregate(F.reverse(nodes), F.array(last), step), 0))
+
+
+def closure(steps: DataFrame) -> DataFrame:
+    """(trial_id, keep): positions the last step depends on."""
+    return _trials(steps).select("trial_id", closure_of(F.col("nodes"), F.col("n")).alias("keep"))
 
 
 def anchor(steps: DataFrame) -> DataFrame:
@@ -67,6 +67,19 @@ def last_parents(steps: DataFrame, most: int = 2) -> DataFrame:
     return edges(steps).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most).drop("_r")
 
 
+def set_consumer(steps: DataFrame, chosen: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(trial_id, set_id, consumer): the first step behind a whole set of steps that depends on one of them.
+
+    ``chosen`` holds (trial_id, set_id, i); with ``kept`` (trial_id, i) only those may consume.
+    """
+    last = chosen.groupBy("trial_id", "set_id").agg(F.max("i").alias("last"))
+    found = edges(steps)
+    if kept is not None:
+        found = found.join(kept.select("trial_id", "i"), ["trial_id", "i"], "left_semi")
+    met = found.join(chosen.select("trial_id", "set_id", F.col("i").alias("j")), ["trial_id", "j"]).join(last, ["trial_id", "set_id"])
+    return met.filter("i > last").groupBy("trial_id", "set_id").agg(F.min("i").alias("consumer"))
+
+
 def first_consumer(steps: DataFrame) -> DataFrame:
     """(trial_id, i, consumer): the first later step that depends on step i."""
     return edges(steps).groupBy("trial_id", F.col("j").alias("i")).agg(F.min("i").alias("consumer"))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def islands(rows: DataFrame, group: str, at: str, keep: Column) -> DataFrame:
-    """Maximal runs of consecutive positions that satisfy ``keep``: first, last, len."""
+def islands(rows: DataFrame, group: str, at: str, keep: Column, *more: Column) -> DataFrame:
+    """Maximal runs of consecutive positions that satisfy ``keep``: first, last, len and further aggregates."""
     order = Window.partitionBy(group).orderBy(at)
     kept = rows.filter(keep).withColumn("_g", F.col(at) - F.row_number().over(order))
     return kept.groupBy(group, "_g").agg(
-        F.min(at).cast("bigint").alias("first"), F.max(at).cast("bigint").alias("last"), F.count("*").alias("len")
+        F.min(at).cast("bigint").alias("first"), F.max(at).cast("bigint").alias("last"), F.count("*").alias("len"), *more
     ).drop("_g")
 
 
@@ -36,39 +36,45 @@ def chunked(rows: DataFrame, group: list[str], at: str, size: int = 4, least: in
     return cut.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
 
 
-def phases(rows: DataFrame, group: str, at: str, kind: str, least: int = 3, most: int = 12) -> DataFrame:
-    """Runs of one kind, short ones merged from left to right, long ones split.
+def phases(rows: DataFrame, group: str, at: str, kind: str, size: str | None = None, least: int = 3, most: int = 12) -> DataFrame:
+    """Runs of one kind, short ones merged from left to right, long ones split: first, last, op_type.
 
     A run of fewer than ``least`` rows joins the phase before it; a phase shorter than
     that takes in the run behind it and its kind.  The merge depends on what was merged before, so it
-    is a fold over the array of a group's runs.
+    is a fold over the array of a group's runs.  ``size``: a column to sum up, as ``size``.
     """
     order = Window.partitionBy(group).orderBy(at)
     change = F.when(F.lag(kind).over(order) == F.col(kind), 0).otherwise(1)
+    values = F.lit(0) if size is None else F.col(size)
     runs = (
         rows.withColumn("_c", change)
         .withColumn("_r", F.sum("_c").over(order))
         .groupBy(group, "_r", kind)
-        .agg(F.min(at).cast("bigint").alias("a"), F.max(at).cast("bigint").alias("b"))
+        .agg(F.min(at).cast("bigint").alias("a"), F.max(at).cast("bigint").alias("b"), F.collect_list(F.struct(F.col(at).alias("i"), values.cast("bigint").alias("v"))).alias("v"))
     )
-    ordered = F.array_sort(F.collect_list(F.struct("a", "b", F.col(kind).alias("op"))))
+    ordered = F.array_sort(F.collect_list(F.struct("a", "b", F.col(kind).alias("op"), "v")))
 
     def merge(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
         rest = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        absorbed = F.concat(rest, F.array(F.struct(last["a"].alias("a"), x["b"].alias("b"), last["op"].alias("op"))))
-        taken = F.concat(rest, F.array(F.struct(last["a"].alias("a"), x["b"].alias("b"), x["op"].alias("op"))))
+        joined = lambda op: F.concat(rest, F.array(F.struct(last["a"].alias("a"), x["b"].alias("b"), op.alias("op"))))
+        own = F.struct(x["a"].alias("a"), x["b"].alias("b"), x["op"].alias("op"))
         short = x["b"] - x["a"] + 1 < least
         before_short = last["b"] - last["a"] + 1 < least
-        return F.when(F.size(acc) == 0, F.array(x)).when(short, absorbed).when(before_short, taken).otherwise(F.concat(acc, F.array(x)))
+        return F.when(F.size(acc) == 0, F.array(own)).when(short, joined(last["op"])).when(before_short, joined(x["op"])).otherwise(F.concat(acc, F.array(own)))
 
     empty = F.array().cast("array<struct<a:bigint,b:bigint,op:string>>")
-    folded = runs.groupBy(group).agg(ordered.alias("runs")).select(group, F.explode(F.aggregate("runs", empty, merge)).alias("p"))
-    start = F.explode(F.sequence(F.col("p.a"), F.col("p.b"), F.lit(most).cast("bigint")))
-    parts = folded.select(group, "p", start.alias("first"))
-    return parts.select(
-        group, "first", F.least(F.col("p.b"), F.col("first") + most - 1).alias("last"), F.col("p.op").alias("op_type")
-    )
+    held = runs.groupBy(group).agg(ordered.alias("runs"))
+    sizes = F.flatten(F.transform("runs", lambda r: F.transform(F.array_sort(r["v"]), lambda x: x["v"])))
+    start = F.transform("runs", lambda r: r["a"])[0]
+    folded = held.select(group, sizes.alias("sizes"), start.alias("start"), F.explode(F.aggregate("runs", empty, merge)).alias("p"))
+    parts = folded.select(group, "sizes", "start", "p", F.explode(F.sequence(F.col("p.a"), F.col("p.b"), F.lit(most).cast("bigint"))).alias("first"))
+    parts = parts.withColumn("last", F.least(F.col("p.b"), F.col("first") + most - 1))
+    out = [group, "first", "last", F.col("p.op").alias("op_type")]
+    if size is None:
+        return parts.select(*out)
+    inside = F.slice("sizes", (F.col("first") - F.col("start") + 1).cast("int"), (F.col("last") - F.col("first") + 1).cast("int"))
+    return parts.select(*out, F.aggregate(inside, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("size"))
 
 
 def round_robin(rows: DataFrame, group: list[str], sub: str, at: str) -> DataFrame:

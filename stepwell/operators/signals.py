@@ -32,16 +32,23 @@ def _signal(rows: DataFrame, kind: str, target: str | Column, evidence: str, sco
 
 
 def kept_steps(steps: DataFrame) -> DataFrame:
-    """Steps with ``kept``: whether the last step depends on them."""
-    return steps.join(graph.closure(steps), "trial_id").withColumn("kept", F.array_contains("keep", F.col("i"))).drop("keep")
+    """Steps with ``kept``: whether the last step depends on them.
+
+    A trial's steps are gathered once, folded and laid out again, so the rows stay
+    partitioned by trial and every detector works on the same exchange.
+    """
+    fields = [c for c in steps.columns if c != "trial_id"]
+    nodes = F.array_sort(F.collect_list(F.struct("i", *[c for c in fields if c != "i"])))
+    trials = steps.groupBy("trial_id").agg(nodes.alias("nodes"))
+    keep = graph.closure_of(F.col("nodes"), F.element_at("nodes", -1)["i"])
+    laid = trials.select("trial_id", keep.alias("keep"), "nodes").select("trial_id", "keep", F.inline("nodes"))
+    return laid.select("trial_id", *fields, F.array_contains("keep", F.col("i")).alias("kept"))
 
 
 def skippable(kept: DataFrame) -> DataFrame:
-    runs = sequence.islands(kept, "trial_id", "i", ~F.col("kept")).filter("len >= 2")
-    chars = runs.join(kept.select("trial_id", "i", "obs_chars"), "trial_id").filter("i BETWEEN first AND last")
-    total = chars.groupBy("trial_id", "first", "last", "len").agg(F.sum("obs_chars").alias("chars"))
+    runs = sequence.islands(kept, "trial_id", "i", ~F.col("kept"), F.sum("obs_chars").alias("chars")).filter("len >= 2")
     score = 120 + 12 * F.col("len") + _thousands(F.col("chars"), 1000, 30)
-    return _signal(total, "skippable", "instruction", "dependency_validated", score, F.col("first"), F.col("last"))
+    return _signal(runs, "skippable", "instruction", "dependency_validated", score, F.col("first"), F.col("last"))
 
 
 def mergeable(kept: DataFrame) -> DataFrame:
@@ -57,12 +64,9 @@ def failure_pivot(steps: DataFrame) -> DataFrame:
     """Runs of two or more failures that a success follows."""
     ahead = F.lead("op_state").over(Window.partitionBy("trial_id").orderBy("i"))
     marked = steps.withColumn("ahead", ahead)
-    runs = sequence.islands(marked, "trial_id", "i", F.col("op_state") == "fail").filter("len >= 2")
-    ends = marked.filter("op_state = 'fail' AND ahead = 'success'").select("trial_id", F.col("i").cast("bigint").alias("last"))
-    return _signal(
-        runs.join(ends, ["trial_id", "last"]), "failure_pivot", "instruction", "behavioral_diagnostic",
-        140 + 20 * F.col("len"), F.col("first"), F.col("last"),
-    )
+    follows = F.max_by("ahead", "i").alias("ahead")
+    runs = sequence.islands(marked, "trial_id", "i", F.col("op_state") == "fail", follows).filter("len >= 2 AND ahead = 'success'")
+    return _signal(runs, "failure_pivot", "instruction", "behavioral_diagnostic", 140 + 20 * F.col("len"), F.col("first"), F.col("last"))
 
 
 def long_observation(kept: DataFrame) -> DataFrame:
@@ -79,22 +83,23 @@ def hotspot(steps: DataFrame) -> DataFrame:
 
 
 def phase_candidates(steps: DataFrame) -> DataFrame:
-    """Phases of 3 to 12 steps, for trials without other candidates."""
-    parts = sequence.phases(steps, "trial_id", "i", "op_type").withColumn("len", F.col("last") - F.col("first") + 1)
-    chars = parts.filter("len >= 3").join(steps.select("trial_id", "i", "obs_chars"), "trial_id").filter("i BETWEEN first AND last")
-    total = chars.groupBy("trial_id", "first", "last", "op_type", "len").agg(F.sum("obs_chars").alias("chars"))
+    """The three best phases of 3 to 12 steps of each trial."""
+    parts = sequence.phases(steps, "trial_id", "i", "op_type", "obs_chars").withColumn("len", F.col("last") - F.col("first") + 1).filter("len >= 3")
     target = F.when(F.col("op_type") == "explore", "instruction").otherwise("both")
-    score = 5 * F.col("len") + _thousands(F.col("chars"), 1000, 30)
-    rows = _signal(total, "phase_fallback", target, "bounded_context_fallback", score, F.col("first"), F.col("last"))
+    score = 5 * F.col("len") + _thousands(F.col("size"), 1000, 30)
+    rows = _signal(parts, "phase_fallback", target, "bounded_context_fallback", score, F.col("first"), F.col("last"))
     order = Window.partitionBy("trial_id").orderBy(F.desc("score"), "first_step")
     return rows.withColumn("_r", F.row_number().over(order)).filter("_r <= 3").drop("_r")
 
 
 def candidates(steps: DataFrame) -> DataFrame:
+    """Candidates of all kinds; phases only of trials that have no other."""
     kept = kept_steps(steps)
-    found = skippable(kept).unionByName(mergeable(kept)).unionByName(failure_pivot(steps))
-    found = found.unionByName(long_observation(kept)).unionByName(hotspot(steps))
-    return found.unionByName(phase_candidates(steps).join(found.select("trial_id").distinct(), "trial_id", "left_anti"))
+    found = phase_candidates(kept)
+    for part in (skippable(kept), mergeable(kept), failure_pivot(kept), long_observation(kept), hotspot(kept)):
+        found = found.unionByName(part)
+    other = F.max(F.col("type") != "phase_fallback").over(Window.partitionBy("trial_id"))
+    return found.withColumn("_other", other).filter((F.col("type") != "phase_fallback") | ~F.col("_other")).drop("_other")
 
 
 def select_top(found: DataFrame, most: int = PER_TRIAL) -> DataFrame:
@@ -108,10 +113,39 @@ def select_top(found: DataFrame, most: int = PER_TRIAL) -> DataFrame:
 
 
 def slice_delta(negative: DataFrame, positive: DataFrame) -> DataFrame:
-    """(sample_id, step, change): both slices aligned by step; op tells replacements."""
-    n, p = negative.withColumnRenamed("op", "n_op"), positive.withColumnRenamed("op", "p_op")
+    """(sample_id, step, change): both slices (sample_id, step, op) aligned by step.
+
+    Steps of ``positive`` with ``merged_from`` are merged; the steps they merge that it no
+    longer holds are covered, and so not removed.
+    """
+    n = negative.select("sample_id", "step", F.col("op").alias("n_op"), F.lit(True).alias("in_n"))
+    p = positive.select("sample_id", "step", F.col("op").alias("p_op"), F.lit(True).alias("in_p"), F.coalesce(F.size("merged_from") > 0, F.lit(False)).alias("merged"))
+    covered = positive.select("sample_id", F.explode("merged_from").alias("step")).distinct().withColumn("covered", F.lit(True))
     change = (
-        F.when(F.col("p_op").isNull(), "removed").when(F.col("n_op").isNull(), "added")
-        .when(F.col("n_op") == F.col("p_op"), "kept").otherwise("replaced")
+        F.when(F.col("merged"), "merged").when(F.col("in_p").isNull() & F.col("covered").isNotNull(), "covered")
+        .when(F.col("in_p").isNull(), "removed").when(F.col("in_n").isNull(), "added")
+        .when(F.col("n_op").eqNullSafe(F.col("p_op")), "kept").otherwise("replaced")
+    )
+    both = n.join(p, ["sample_id", "step"], "full_outer").join(covered, ["sample_id", "step"], "left")
+    return both.select("sample_id", "step", change.alias("change"))
+
+
+def trajectory_slice(steps: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Chosen steps (trial_id, i) of trajectories, once each, with their place for display."""
+    return steps.join(chosen.select("trial_id", "i").distinct(), ["trial_id", "i"]).withColumn("display_index", F.col("i"))
+
+
+def merge_steps(members: DataFrame, group: list[str]) -> DataFrame:
+    """One step per group: calls and results in order, messages that say something on lines of their own."""
+    parts = F.collect_list(F.struct("i", "calls", "contents", F.trim(F.coalesce("message", F.lit(""))).alias("message"), "deps"))
+    ordered = F.array_sort(parts, lambda a, b: (a["i"] - b["i"]).cast("int"))
+    held = members.groupBy(*group).agg(ordered.alias("m"))
+    spoken = F.filter("m", lambda x: x["message"] != "")
+    return held.select(
+        *group,
+        F.flatten(F.transform("m", lambda x: x["calls"])).alias("calls"),
+        F.flatten(F.transform("m", lambda x: F.coalesce(x["contents"], F.array().cast("array<string>")))).alias("contents"),
+        F.array_join(F.transform(spoken, lambda x: x["message"]), "\n").alias("message"),
+        F.transform("m", lambda x: x["i"]).alias("merged_from"),
+        F.get("m", F.lit(0))["deps"].alias("shared_deps"),
     )
-    return n.join(p, ["sample_id", "step"], "full_outer").select("sample_id", "step", change.alias("change"))

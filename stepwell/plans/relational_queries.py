@@ -183,14 +183,25 @@ def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def contamination_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole passages in documents: a shared word pair first, then the containment check."""
-    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    # any occurrence of a passage holds its middle word whole
-    parts = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    longest = F.array_max(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(1))), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    keyed = items.select("item_id", F.col("text").alias("passage"), longest["w"].alias("word"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    return words.join(keyed, "word").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id").distinct()
+    """Whole passages in documents: a shared word first, then the containment check on the candidates' texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    # any occurrence of a passage of three words holds the words between its first and last whole
+    parts = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = items.withColumn("word", longest)
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    met = words.join(keyed.filter("word IS NOT NULL").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    found = met.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    # passages of one or two words have no such word: few and short, they are held against all texts
+    short = keyed.filter("word IS NULL AND passage IS NOT NULL").select("item_id", "passage")
+    if short.isEmpty():
+        return found
+    if short.count() > 10_000:
+        raise ValueError("more than 10,000 passages of one or two words")
+    near = docs.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return found.union(near).distinct()
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accept' ELSE 'reject' END AS decision FROM labels")
@@ -349,3 +360,24 @@ def map_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("n"))
     new = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("n"))
     return quality.map_changes(old, new, "nation", "n")
+
+
+FRAGMENTS = ["BRAND#2", "3", "brand#14", "none"]
+
+
+@query(
+    "SELECT pos, min(p_partkey) AS p_partkey FROM (SELECT unnest(['BRAND#2', '3', 'brand#14', 'none']) AS f, unnest([0, 1, 2, 3]) AS pos) s JOIN part ON contains(lower(p_brand), lower(f)) GROUP BY pos"
+)
+def fragment_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of four fragments the first row whose lower-cased brand holds it."""
+    shortlist = spark.createDataFrame(list(enumerate(FRAGMENTS)), "pos int, fragment string")  # four rows
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
+    met = parts.join(F.broadcast(shortlist), F.contains("brand", F.lower("fragment")))
+    return met.groupBy("pos").agg(F.min("p_partkey").alias("p_partkey"))
+
+
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def except_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a pending order, each once."""
+    pending = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey").subtract(pending)

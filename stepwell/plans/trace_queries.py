@@ -161,9 +161,7 @@ def chunk4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("trial_id", "op_type", "chunk").agg(F.count("*").alias("n"))
 
 
-@query(
-    STEPS_SQL
-    + """, r AS (SELECT *, sum(c) OVER (PARTITION BY trial_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(op_type) OVER (PARTITION BY trial_id ORDER BY i) = op_type THEN 0 ELSE 1 END AS c FROM steps)),
+PHASES = STEPS_SQL + """, r AS (SELECT *, sum(c) OVER (PARTITION BY trial_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN lag(op_type) OVER (PARTITION BY trial_id ORDER BY i) = op_type THEN 0 ELSE 1 END AS c FROM steps)),
 runs2 AS (SELECT trial_id, run, op_type, min(i) AS a, max(i) AS b FROM r GROUP BY ALL),
 fold AS (SELECT trial_id, run, a, b, op_type, a AS pa, false AS closed, 0 AS pb, '' AS pop FROM runs2 WHERE run = 1
  UNION ALL SELECT f.trial_id, n.run,
@@ -173,13 +171,22 @@ fold AS (SELECT trial_id, run, a, b, op_type, a AS pa, false AS closed, 0 AS pb,
  FROM fold f JOIN runs2 n ON n.trial_id = f.trial_id AND n.run = f.run + 1),
 done AS (SELECT trial_id, pa AS a, pb AS b, pop AS op FROM fold WHERE closed
  UNION ALL SELECT trial_id, a, b, op_type FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY run DESC) AS q FROM fold) WHERE q = 1)
-SELECT trial_id, CAST(s AS BIGINT) AS first, CAST(least(b, s + 11) AS BIGINT) AS last, op AS op_type FROM (SELECT *, unnest(range(a, b + 1, 12)) AS s FROM done)"""
-)
+"""
+
+
+@query(PHASES + "SELECT trial_id, CAST(s AS BIGINT) AS first, CAST(least(b, s + 11) AS BIGINT) AS last, op AS op_type FROM (SELECT *, unnest(range(a, b + 1, 12)) AS s FROM done)")
 def phase_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.phases(steps(spark, sf_dir), "trial_id", "i", "op_type")
 
 
-@query(None)
+@query(
+    PHASES
+    + """, part AS (SELECT trial_id, s AS first, least(b, s + 11) AS last, op FROM (SELECT *, unnest(range(a, b + 1, 12)) AS s FROM done)),
+scored AS (SELECT p.trial_id, 'phase_fallback' AS type, CASE WHEN op = 'explore' THEN 'instruction' ELSE 'both' END AS optimization_target, 'bounded_context_fallback' AS evidence_status,
+ CAST(5 * (last - first + 1) + least(sum(obs_chars) // 1000, 30) AS BIGINT) AS score, first AS first_step, last AS last_step
+ FROM part p JOIN steps s ON s.trial_id = p.trial_id AND s.i BETWEEN first AND last WHERE last - first >= 2 GROUP BY p.trial_id, op, first, last)
+SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY score DESC, first_step) AS r FROM scored) WHERE r <= 3"""
+)
 def phase_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.phase_candidates(steps(spark, sf_dir))
 
@@ -234,10 +241,18 @@ def hash_sample_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.hash_sample(left, "c_custkey", "c_nationkey", 64).select("c_custkey", "c_nationkey", "turn")
 
 
-@query(None)
+@query(
+    STEPS_SQL
+    + """, packed AS (SELECT trial_id, i, obs_chars, 0 AS batch, obs_chars AS used, 1 AS held FROM steps WHERE i = 1
+ UNION ALL SELECT s.trial_id, s.i, s.obs_chars, CASE WHEN used + s.obs_chars > 60000 OR held = 8 THEN batch + 1 ELSE batch END,
+  CASE WHEN used + s.obs_chars > 60000 OR held = 8 THEN s.obs_chars ELSE used + s.obs_chars END, CASE WHEN used + s.obs_chars > 60000 OR held = 8 THEN 1 ELSE held + 1 END
+ FROM packed p JOIN steps s ON s.trial_id = p.trial_id AND s.i = p.i + 1)
+SELECT trial_id, i, obs_chars, CAST(batch AS BIGINT) AS batch FROM packed"""
+)
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 8 steps at most under a budget that often closes them earlier."""
     rows = steps(spark, sf_dir).select("trial_id", "i", "obs_chars")
-    return sequence.pack_batches(rows, "trial_id", "i", "obs_chars", 100_000_000, 8)
+    return sequence.pack_batches(rows, "trial_id", "i", "obs_chars", 60_000, 8)
 
 
 READ_SQL = """, reads AS (SELECT trial_id, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY trial_id ORDER BY i) AS g FROM steps

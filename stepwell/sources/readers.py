@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StringType
 
 STEP = (
     "struct<source:string,message:string,action:string,tool_calls:array<struct<tool_call_id:string,function_name:string,"
@@ -56,13 +58,38 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strict_id_list(spark: SparkSession, path: str) -> DataFrame:
-    """As `id_list`; fails when read if an id occurs twice."""
-    n = F.count("*").over(Window.partitionBy("id"))
-    ids = id_list(spark, path).withColumn("_n", n)
+    """As `id_list`; an empty list raises at once, an id that occurs twice when the list is read."""
+    ids = id_list(spark, path)
+    if ids.isEmpty():
+        raise ValueError(f"no ids in {path}")
+    ids = ids.withColumn("_n", F.count("*").over(Window.partitionBy("id")))
     fine = F.assert_true(F.col("_n") == 1, F.concat(F.lit("duplicate id: "), F.col("id")))
     return ids.filter(fine.isNull()).select("id")
 
 
+def trial_configs(spark: SparkSession, root: str) -> DataFrame:
+    """(trial_dir, task_path, case_id) of configs that name a task; those of whole runs don't."""
+    files = json_files(spark, root, "config.json").filter(F.col("doc").isNotNull())
+    task = F.try_variant_get("doc", "$.task.path", "string")
+    rows = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("trial_dir"), task.alias("task_path"))
+    case = F.regexp_extract(F.regexp_replace("task_path", "/+$", ""), "([^/]*)$", 1)
+    return rows.filter(F.coalesce("task_path", F.lit("")) != "").withColumn("case_id", case)
+
+
+def final_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """Token totals and the number of all steps of every trajectory; the case is the first __ part of its trial."""
+    files = json_files(spark, root, "trajectory.json").filter(F.col("doc").isNotNull())
+    number = lambda f: F.coalesce(F.try_variant_get("doc", f"$.final_metrics.{f}", "bigint"), F.lit(0))
+    return files.select(
+        "path",
+        F.split(F.regexp_extract("path", r"([^/]+)/(?:agent/)?[^/]*$", 1), "__")[0].alias("case_id"),
+        number("total_prompt_tokens").alias("n_input"),
+        number("total_cached_tokens").alias("n_cached"),
+        number("total_completion_tokens").alias("n_output"),
+        F.coalesce(F.size(F.try_variant_get("doc", "$.steps", "array<variant>")), F.lit(0)).cast("bigint").alias("steps"),
+    )
+
+
 def checkpoint(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
     """Last valid record of every (step, input_hash); ``records`` has (line_no, value)."""
     doc = F.try_parse_json("value")
@@ -77,13 +104,25 @@ def checkpoint(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
     return rows.groupBy("step", "input_hash").agg(F.max_by("value", "line_no").alias("value"))
 
 
+@F.pandas_udf(StringType())
+def _repository(toml: pd.Series) -> pd.Series:
+    import tomllib
+
+    def one(text: str) -> str | None:
+        try:
+            url = tomllib.loads(text).get("metadata", {}).get("repository_url")
+        except (tomllib.TOMLDecodeError, AttributeError):
+            return None
+        return url if isinstance(url, str) and url.strip() else None
+
+    return toml.map(one)
+
+
 def task_pool(spark: SparkSession, folder: str) -> DataFrame:
-    """(task_id, repository_url) of every task.toml below a folder."""
+    """(task_id, repository_url) of every task.toml below a folder; null where the file or its [metadata] has none."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "task.toml").text(folder, wholetext=True)
-    return raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/task\.toml$", 1).alias("task_id"),
-        F.nullif(F.regexp_extract("value", r'(?m)^\s*repository_url\s*=\s*"([^"]*)"', 1), F.lit("")).alias("repository_url"),
-    )
+    task = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/task\.toml$", 1)
+    return raw.select(task.alias("task_id"), "value").select("task_id", _repository("value").alias("repository_url"))
 
 
 def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:

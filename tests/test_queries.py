@@ -2,10 +2,11 @@
 
 import pytest
 
-from stepwell.plans import relational_queries, trace_queries
+from stepwell.plans import corpus_queries, feature_queries, relational_queries, trace_queries
 
-QUERIES = trace_queries.QUERIES | relational_queries.QUERIES
-ORACLES = trace_queries.ORACLES | relational_queries.ORACLES
+MODULES = (trace_queries, relational_queries, feature_queries, corpus_queries)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
