@@ -128,6 +128,24 @@ def rollout_report(trials: DataFrame, expected: DataFrame | None = None) -> Data
     return out.select(clean.alias("valid"), "*")
 
 
+def harness_issues(tools: Column) -> Column:
+    """What is wrong with the text of a tool list: not a JSON list, no name, no parameter object, names twice."""
+    parsed = F.try_parse_json(tools)
+    items = F.try_variant_get(parsed, "$", "array<variant>")
+    field = lambda x, path: F.try_variant_get(x, path, "string")
+    names = F.transform(items, lambda x: F.coalesce(field(x, "$.function.name"), field(x, "$.name"), F.lit("")))
+    shape = lambda x, path: F.coalesce(F.schema_of_variant(F.try_variant_get(x, path, "variant")), F.lit(""))
+    typed = F.forall(items, lambda x: shape(x, "$.function.parameters").startswith("OBJECT") | shape(x, "$.parameters").startswith("OBJECT"))
+    return F.array_compact(
+        F.array(
+            F.when(items.isNull(), "not_a_list"),
+            F.when(F.exists(names, lambda n: n == ""), "missing_name"),
+            F.when(~typed, "parameters_not_object"),
+            F.when(F.size(F.array_distinct(names)) < F.size(names), "duplicate_names"),
+        )
+    )
+
+
 def tool_issues(name: Column, properties: Column, required: Column) -> Column:
     """Issues of one tool definition."""
     unknown = F.array_except(required, properties)

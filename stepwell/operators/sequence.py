@@ -141,9 +141,11 @@ def two_key_dedupe(rows: DataFrame, at: str, key_a: str, key_b: str, fill: str,
     its keys is kept, rows that share a key with it go, and so on until none is left.
     No group of rows is gathered in one place.
     """
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # else the cluster's shared folder
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stepwell-"))
+    spark = rows.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:  # else the cluster's shared folder
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        spark.sparkContext.setCheckpointDir(shared or (tempfile.mkdtemp(prefix="stepwell-") if alone else spark.conf.get("spark.sql.warehouse.dir")))
     a, b = F.nullif(F.col(key_a), F.lit("")), F.coalesce(F.col(key_b), F.lit(""))
     base = rows.withColumn("_a", a).withColumn("_b", b)
     undecided = base.select(F.col(at).alias("_at"), "_a", "_b").checkpoint()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.operators import graph, sequence
+from stepwell.operators import graph, quality, sequence
 
 # Thresholds and scores.
 LONG_CHARS = 4000
@@ -52,11 +52,23 @@ def skippable(kept: DataFrame) -> DataFrame:
 
 
 def mergeable(kept: DataFrame) -> DataFrame:
+    """Chunks of up to four successful steps of one kind that depend on the same steps.
+
+    With a column ``structured`` all of a chunk must be so; with ``files`` the writes among
+    them must touch known files, no file twice.
+    """
     key = ["trial_id", "signature", "op_type"]
     rows = kept.filter("kept AND op_state = 'success'").withColumn("signature", F.array_join(F.array_sort("deps"), ","))
-    groups = sequence.chunked(rows, key, "i", MERGE_GROUP).groupBy(*key, "chunk").agg(
-        F.count("*").alias("len"), F.min("i").alias("first"), F.max("i").alias("last")
-    )
+    sums = [F.count("*").alias("len"), F.min("i").alias("first"), F.max("i").alias("last")]
+    if "structured" in kept.columns:
+        sums.append(F.bool_and("structured").alias("structured"))
+    if "files" in kept.columns:
+        sums.append(F.collect_list("files").alias("files"))
+    groups = sequence.chunked(rows, key, "i", MERGE_GROUP).groupBy(*key, "chunk").agg(*sums)
+    if "structured" in kept.columns:
+        groups = groups.filter("structured")
+    if "files" in kept.columns:
+        groups = groups.filter((F.col("op_type") != "write") | quality.disjoint_files(F.col("files")))
     return _signal(groups, "mergeable", "tools", "dependency_validated", 150 + 25 * (F.col("len") - 1), F.col("first"), F.col("last"))
 
 

@@ -230,7 +230,18 @@ def dedupe_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("title").agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies")).select("page_id", "copies")
 
 
-@query(None)
+@query(
+    r"""WITH RECURSIVE p AS MATERIALIZED (SELECT page_id, row_number() OVER (ORDER BY page_id) AS n, split_part(url, '?', 1) AS a,
+ trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS t,
+ trim(regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1)) AS abstract, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)) AS host FROM pages),
+fold AS (SELECT n, [a] AS addresses, [t] AS titles, [page_id] AS ids, page_id AS base FROM p WHERE n = 1
+ UNION ALL SELECT n, CASE WHEN base = page_id THEN list_append(addresses, a) ELSE addresses END, CASE WHEN base = page_id THEN list_append(titles, t) ELSE titles END,
+  CASE WHEN base = page_id THEN list_append(ids, page_id) ELSE ids END, base
+ FROM (SELECT p.n, addresses, titles, ids, a, t, page_id,
+  CASE WHEN a <> '' AND list_contains(addresses, a) THEN ids[list_position(addresses, a)] WHEN list_contains(titles, t) THEN NULL ELSE page_id END AS base FROM fold JOIN p ON p.n = fold.n + 1))
+SELECT base AS page_id, coalesce(arg_min(abstract, n) FILTER (abstract <> ''), '') AS abstract, array_to_string(list_sort(list_distinct(list(host))), ',') AS sources
+FROM (SELECT n, base FROM fold WHERE base IS NOT NULL) f JOIN p USING (n) GROUP BY base"""
+)
 def dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by address, then by title: kept pages with the first paragraph and the hosts of those merged into them."""
     rows = table(spark, sf_dir, "pages").select(
@@ -240,7 +251,8 @@ def dedupe_two_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim(F.regexp_extract("html", r"(?is)<p[^>]*>(.*?)</p>", 1)).alias("abstract"),
         tx.url_host(F.col("url")).alias("host"),
     )
-    return sequence.two_key_dedupe(rows, "page_id", "address", "title", "abstract", "host").select("page_id", "abstract", "sources")
+    out = sequence.two_key_dedupe(rows, "page_id", "address", "title", "abstract", "host")
+    return out.select("page_id", "abstract", F.array_join("sources", ",").alias("sources"))
 
 
 WORDS = ["the", "and", "ing", "tion", "the"]
