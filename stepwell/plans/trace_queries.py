@@ -251,7 +251,7 @@ SELECT trial_id, i, obs_chars, CAST(batch AS BIGINT) AS batch FROM packed"""
 )
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 steps at most under a budget that often closes them earlier."""
-    rows = steps(spark, sf_dir).select("trial_id", "i", "obs_chars")
+    rows = steps(spark, sf_dir).select("trial_id", F.col("i").cast("bigint").alias("i"), "obs_chars")
     return sequence.pack_batches(rows, "trial_id", "i", "obs_chars", 60_000, 8)
 
 
