@@ -21,6 +21,9 @@ import numpy as np
 
 from stepwell.llm import textbuf
 
+#: Bytes of pieces that are remembered from one call to the next.
+LONG = 64
+
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _POINT = np.zeros(256, bool)
@@ -87,7 +90,7 @@ class Vocabulary:
     def __init__(self, path: str, keep: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.keep = path, keep
-        self.known, self.old = {}, {}
+        self.known, self.old, self.long = {}, {}, []
         if path.endswith(".model"):
             import sentencepiece
 
@@ -160,8 +163,11 @@ class Vocabulary:
     def look_up(self, pieces: list[bytes], make) -> dict:
         """Results of ``make`` (list of pieces -> list of results) for all the pieces.
 
-        What was not used since the memory last filled up is forgotten when it fills up again.
+        What was not used since the memory last filled up is forgotten when it fills up again;
+        pieces of more than LONG bytes are forgotten at the next call.
         """
+        for p in self.long:
+            self.known.pop(p, None)
         distinct = set(pieces)
         known, old = self.known, self.old
         if len(known) + len(distinct) > self.keep // 2:
@@ -171,6 +177,7 @@ class Vocabulary:
         if old:
             known.update((p, old[p]) for p in missing if p in old)
             missing = [p for p in missing if p not in known]
+        self.long = [p for p in missing if len(p) > LONG]
         for lo in range(0, len(missing), 4096):
             part = missing[lo : lo + 4096]
             known.update(zip(part, make(part)))

@@ -207,7 +207,7 @@ def test_op10_recall_on_many_vectors(spark, kind):
     from stepwell.llm import ann
 
     rng = np.random.default_rng(17)
-    x = rng.normal(size=(12_000, 96)).astype(np.float32)
+    x = rng.normal(size=(9_000, 96)).astype(np.float32)
     if kind == "uneven":
         x *= rng.lognormal(0, 1, (len(x), 1)).astype(np.float32)
     if kind == "grouped":
