@@ -37,6 +37,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     start = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     now = materialise(start, "edges")
+    if not now.take(1):
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     mark = None
     while True:
         large = _star(now, True)

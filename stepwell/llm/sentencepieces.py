@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepwell.llm import textbuf
 from stepwell.llm.common import documents
 
 MARK = "▁"
@@ -40,7 +41,7 @@ _APART = "\uE000"
 class Model:
     """A SentencePiece merge model with a bounded memory of words and pairs."""
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         import sentencepiece
 
         self.sp = sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -285,6 +286,13 @@ def _result(m: Model, ids: bytes) -> tuple[int, int, bytes]:
     return len(got), zlib.crc32(got.astype("<u4").tobytes()), m.decode(got)[1:].tobytes()
 
 
+def _small(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Parts of batches that hold about a megabyte of text, so that little is held beside them."""
+    for batch in batches:
+        for lo, hi in textbuf.slices(batch.column(column)):
+            yield batch.slice(lo, hi - lo)
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, uid, n_pieces, ids_crc32 (of 32-bit ids), decoded (the text again).
 
@@ -300,7 +308,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in _small(batches, "text"):
             done = [_result(m, encode(m, t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -316,7 +324,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in _small(batches, "chunk"):
             mats = [Chunk(m, *x).matrix() for x in zip(*(batch.column(c).to_pylist() for c in parts))]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -338,7 +346,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in _small(batches, "chunk"):
             cols = [batch.column(c).to_pylist() for c in (*parts, "enter", "leave")]
             ids = [Chunk(m, a, b, c).ids(x, y) for a, b, c, x, y in zip(*cols)]
             yield pa.RecordBatch.from_arrays(
@@ -347,7 +355,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for batch in batches:
+        for batch in (b.slice(lo, 16) for b in batches for lo in range(0, b.num_rows, 16)):  # of giant texts
             done = [_result(m, b"".join(x)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
