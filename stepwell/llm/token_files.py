@@ -50,6 +50,21 @@ class Grammar:
         return out
 
 
+def _runs(rank: np.ndarray) -> np.ndarray:
+    """Every second place of runs of one pair that outrank both neighbours."""
+    at = np.flatnonzero((rank[:-1] >= 0) & (rank[:-1] == rank[1:]))
+    if len(at) == 0:
+        return at
+    head = np.concatenate([[True], at[1:] != at[:-1] + 1])
+    head[1:] |= rank[at[1:]] != rank[at[:-1]]
+    begin = np.flatnonzero(head)
+    length = np.diff(np.append(begin, len(at))) + 1
+    begin = at[begin]
+    top = (rank[begin - 1] < rank[begin]) & (rank[begin + length] < rank[begin])
+    begin, length = begin[top], (length[top] + 1) // 2
+    return np.repeat(begin, length) + 2 * (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
+
+
 def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Grammar:
     """Re-Pair over uint16 symbols; ids are uint32, doc_ends count ids.
 
@@ -72,10 +87,14 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Gramm
     size = len(terminals)
     while size < 1 << 16:
         at = np.flatnonzero(live[:-1] & ~last[:-1])
-        key = (seq[at].astype(np.uint64) << np.uint64(48)) | (seq[at + 1].astype(np.uint64) << np.uint64(32)) | at.astype(np.uint64)
+        if len(at) == 0:
+            break
+        both = (seq[:-1] << np.uint32(16)) | seq[1:]
+        key = (both[at].astype(np.uint64) << np.uint64(32)) | at.view(np.uint64)
         key.sort()
-        pair, at = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, np.int64)
+        halves = key.astype("<u8", copy=False).view("<u4").reshape(-1, 2)
+        place, pair = halves[:, 0], halves[:, 1]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         n = np.diff(np.append(first, len(pair)))
         often = np.flatnonzero(n >= least)
         often = often[np.argsort(n[often], kind="stable")][-((1 << 16) - size) :]
@@ -84,17 +103,11 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Gramm
         group = np.full(len(n), -1, np.int32)
         group[often] = np.arange(len(often))
         group = np.repeat(group, n)
+        named = group >= 0
         rank = np.full(len(seq) + 2, -1, np.int32)  # one more at both ends
-        rank[at[group >= 0] + 1] = group[group >= 0]
-        at = np.flatnonzero(rank >= 0)
-        # in a run of one pair every second place is free, if the run outranks both neighbours
-        head = np.ones(len(at), bool)
-        head[1:] = (at[1:] != at[:-1] + 1) | (rank[at[1:]] != rank[at[:-1]])
-        begin = np.flatnonzero(head)
-        length = np.diff(np.append(begin, len(at)))
-        top = (rank[at[begin] - 1] < rank[at[begin]]) & (rank[at[begin] + length] < rank[at[begin]])
-        even = (np.arange(len(at)) - np.repeat(begin, length)) % 2 == 0
-        pick = at[np.repeat(top, length) & even]
+        rank[place[named] + np.uint32(1)] = group[named]
+        own = rank[1:-1]
+        pick = np.concatenate([np.flatnonzero((own > rank[:-2]) & (own > rank[2:])) + 1, _runs(rank)])
         used = np.bincount(rank[pick], minlength=len(often))
         pick = pick[used[rank[pick]] >= least]
         if len(pick) == 0:
@@ -102,8 +115,8 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Gramm
         kept = np.flatnonzero(used >= least)[::-1]
         fresh = np.zeros(len(often), np.uint32)
         fresh[kept] = size + np.arange(len(kept))
-        named = pair[first[often[kept]]]
-        rules.append(np.column_stack([named >> np.uint64(16), named & np.uint64(0xFFFF)]))
+        replaced = pair[first[often[kept]]]
+        rules.append(np.column_stack([replaced >> np.uint32(16), replaced & np.uint32(0xFFFF)]))
         live = rank[1:-1] >= 0
         pick -= 1
         seq[pick] = fresh[rank[pick + 1]]
@@ -116,7 +129,7 @@ def compress(ids: np.ndarray, doc_ends: np.ndarray, least: int = LEAST) -> Gramm
         live[pick[pick > 1] - 2] |= ~stay[pick[pick > 1] - 1]
         seq, last, live = seq[stay], last[stay], live[stay]
         size += len(kept)
-    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)
+    flat = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     # documents without ids end where the one before does
     ends = np.concatenate([[0], np.flatnonzero(last) + 1])[np.cumsum(np.diff(doc_ends, prepend=0) > 0)]
     return Grammar(terminals, flat.astype(np.uint16), seq.astype(np.uint16), ends)
