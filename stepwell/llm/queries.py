@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from stepwell.llm import (
     ann,
+    annulus,
     decontaminate,
+    jaccard_join,
     line_dedup,
     secrets,
     sentencepieces,
     simhash,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
@@ -100,6 +103,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_sentencepiece,
         op10_nearest,
+        op11_jaccard_join,
+        op12_annulus_clusters,
+        op13_spelling_variants,
     )
 }
 

@@ -135,3 +135,95 @@ def leaks(docs, items, width: int = 10):
                     names |= grams[tuple(w[i : i + m])]
         out[d] = (len(w), len(hit), sorted(names))
     return out
+
+
+def jaccard_components(rows, width: int = 3):
+    """doc_id -> (set size, least doc_id reachable), by all pairs of distinct sets."""
+    sets = {}
+    for d, text in rows:
+        w = WORD.findall((text or "").translate(LOWER))
+        k = min(width, len(w))
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if k else frozenset()
+    distinct = sorted({s for s in sets.values() if s}, key=len)
+    parent = {s: s for s in distinct}
+
+    def top(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if 100 * len(a) < 90 * len(b):
+                break
+            both = len(a & b)
+            if 100 * both >= 90 * (len(a) + len(b) - both):
+                parent[top(a)] = top(b)
+    least = {}
+    for d, s in sets.items():
+        if s:
+            least[top(s)] = min(d, least.get(top(s), d))
+    return {d: (len(s), least[top(s)] if s else d) for d, s in sets.items()}
+
+
+def clusters(rows, k: int = 16, rounds: int = 3, dim: int = 64):
+    """Sorted (vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256)."""
+    kept = []
+    for i, v in rows:
+        if v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((i, [int(x) * 64 if abs(x) > 2**53 else math.floor(64 * x) for x in v]))
+    starts = sorted((sha(f"1:{i}"), v) for i, v in kept if i is not None)[:k]
+    centres = [v for _, v in starts]
+    if not centres:
+        return []
+
+    def nearest(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centres))
+
+    for _ in range(rounds):
+        groups = {}
+        for _, v in kept:
+            groups.setdefault(nearest(v)[1], []).append(v)
+        for c, own in groups.items():
+            centres[c] = [sum(x) // len(own) for x in zip(*own)]
+    found = [(i, *nearest(v)) for i, v in kept]
+    totals = {}
+    for _, d, c in found:
+        totals[c] = totals.get(c, 0) + d
+    most = (1 << 63) - 1
+    out = [(i, c, min(d, most), min(totals[c], most), min(sum(totals.values()), most), sha(",".join(map(str, centres[c])))) for i, d, c in found]
+    return sorted(out, key=repr)
+
+
+def edits(word: str, letters: str):
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    out = {a + b[1:] for a, b in cuts if b}
+    out |= {a + c + b[1:] for a, b in cuts if b for c in letters}
+    out |= {a + c + b for a, b in cuts for c in letters}
+    return out - {word}
+
+
+def spellings(rows, every: int = 199, rarest: int = 5):
+    """word -> (n, n_near, form, form_n, root)."""
+    counts = {}
+    for d, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] = counts.get(run, 0) + 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= rarest}
+    letters = "".join(sorted({c for w in counts for c in w}))
+    out = {}
+    for w, n in counts.items():
+        near = [x for x in edits(w, letters) if x in counts]
+        best = min(near, key=lambda x: (-counts[x], x), default=None)
+        form = best if best is not None and counts[best] >= 5 * n else None
+        out[w] = [n, len(near), form, counts.get(form), w]
+    for w in out:
+        root = w
+        while out[root][2]:
+            root = out[root][2]
+        out[w][4] = root
+    return {w: tuple(v) for w, v in out.items()}
