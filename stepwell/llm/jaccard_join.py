@@ -11,7 +11,9 @@ nearest pivot is its rarest shingle, and a linked set shares one of the first
 n - ceil(J n) + 1 shingles in an order common to all (this is a prefix filter).
 
 Regions of few sets are joined by candidate pairs: sizes, places of the shared shingle and the
-distances to the pivot must leave room for a link.  In a large region sub-pivots are drawn;
+distances to the pivot must leave room for a link, and so must sketches: counts of a set's
+shingles by hash, whose differences never add up to more than the sets' own difference.  Only
+the sets of pairs that are left are sent to be compared.  In a large region sub-pivots are drawn;
 all sets within r of one are linked to it, and components are taken.  Only sets outside the
 region's main component are then compared, in blocks, with the region: a link between two
 components has one of them.  No link between different components is lost.
@@ -94,6 +96,46 @@ def separated(sets: list[np.ndarray], apart: float = APART) -> list[int]:
     return taken
 
 
+def _marks(width: int):
+    """doc_id, uid, sid, n and the sketch: how many shingles fall into each of 64 or about n/16 bins, 255 at most."""
+
+    def make(batch: pa.RecordBatch, lo: int, hi: int):
+        row, h, size, sid = near_copies.shingle_sets(batch.column("text"), lo, hi, width)
+        bins = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 16) / 16)).astype(np.int64))
+        ends = np.cumsum(bins)
+        at = (ends - bins)[row] + (h & (bins[row] - 1).astype(np.uint64)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
+        sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(counts)])
+        ids = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "uid")]
+        return [*ids, near_copies._long(sid), pa.array(size.astype(np.int64)), sketch]
+
+    return make
+
+
+def _sketched(num: int, den: int):
+    """(a, b, na, nb, sa, sb) -> the pairs (a, b) whose sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.ones(len(n), bool)
+            bins: dict[tuple[int, int], list[int]] = {}
+            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
+            for i, (x, y) in enumerate(zip(sa, sb)):
+                bins.setdefault((len(x), len(y)), []).append(i)
+            for (x, y), rows in bins.items():
+                a = np.frombuffer(b"".join(sa[i] for i in rows), np.uint8).reshape(len(rows), x)
+                b = np.frombuffer(b"".join(sb[i] for i in rows), np.uint8).reshape(len(rows), y)
+                full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # such counts may be larger
+                low = min(x, y)  # bins of the longer sketch fall into those of the shorter
+                a = a.astype(np.int64).reshape(len(rows), -1, low).sum(axis=1)
+                b = b.astype(np.int64).reshape(len(rows), -1, low).sum(axis=1)
+                keep[rows] = full | ((den + num) * np.abs(a - b).sum(axis=1) <= (den - num) * n[rows])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
+
+    return run
+
+
 def _regions(width: int, pivots, common, num: int, den: int):
     """Rows (region, sid, n, pos, d, home): Voronoi regions with windows, shingle regions outside."""
     r = 1 - num / den
@@ -254,15 +296,16 @@ def _pivots(one: DataFrame, reps: DataFrame, width: int):
 
 
 def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """known (doc_id, uid, sid, n), reps (sid, least, uid, n) and links (a, b) between sets.
+    """known (doc_id, uid, sid, n, sketch), reps (sid, least, uid, n, sketch) and links (a, b) between sets.
 
     docs as `documents` gives them.  The links join up all pairs of sets with a similarity of
     ``jaccard`` or more; each of them is such a pair.
     """
     num, den = jaccard
     spark = docs.sparkSession
-    known = materialise(near_copies._mapped(docs, near_copies._ids(width), "doc_id long, uid long, sid long, n long"), "known")
-    reps = known.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("n").alias("n"))
+    known = materialise(near_copies._mapped(docs, _marks(width), "doc_id long, uid long, sid long, n long, sketch binary"), "known")
+    firsts = [F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("n").alias("n")]
+    reps = known.filter("n > 0").groupBy("sid").agg(*firsts, F.first("sketch").alias("sketch"))
     reps = materialise(reps, "reps")
     # copies are left out where that costs no shuffle of texts; they make the same rows again
     one = docs.join(F.broadcast(reps.select("uid")), "uid", "left_semi") if reps.count() <= MAX_KEYS else docs
@@ -282,6 +325,9 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     small, large = rows.filter(F.col("c") <= LARGE), rows.filter(F.col("c") > LARGE)
     by_pairs = small.withColumn("root", F.col("sid")).repartition("region").sortWithinPartitions("region")
     pairs = materialise(by_pairs.mapInArrow(_pairs(num, den), "a long, b long").distinct(), "pairs")
+    drawn = pairs.join(reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+    drawn = drawn.join(reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    pairs = materialise(drawn.mapInArrow(_sketched(num, den), "a long, b long"), "close")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
     uids = checked_broadcast(materialise(reps.join(need, "sid").select("uid"), "uids"))
     sets = near_copies._mapped(one.join(uids, "uid", "left_semi"), near_copies._whole(width), "sid long, h array<long>")
