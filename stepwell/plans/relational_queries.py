@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepwell.functions import steps as sf
 from stepwell.functions import text as tx
-from stepwell.operators import cost, quality, search, sequence
+from stepwell.operators import containment, cost, quality, search, sequence
 from stepwell.plans.encoding import table
 
 QUERIES: dict = {}
@@ -176,32 +176,18 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b).agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity >= 45")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").exceptAll(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Parts never sold in large quantities."""
+    sold = table(spark, sf_dir, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, sf_dir, "part").select("p_partkey").exceptAll(sold.distinct())
 
 
 @query("SELECT DISTINCT doc_id, item_id FROM documents, benchmark WHERE contains(documents.text, benchmark.text)")
 def contamination_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole passages in documents: a shared word first, then the containment check on the candidates' texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    # any occurrence of a passage of three words holds the words between its first and last whole
-    parts = F.filter(F.split("passage", r"\s+"), lambda w: w != "")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("word", longest)
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    met = words.join(keyed.filter("word IS NOT NULL").select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
-    found = met.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    # passages of one or two words have no such word: few and short, they are held against all texts
-    short = keyed.filter("word IS NULL AND passage IS NOT NULL").select("item_id", "passage")
-    if short.isEmpty():
-        return found
-    if short.count() > 10_000:
-        raise ValueError("more than 10,000 passages of one or two words")
-    near = docs.join(F.broadcast(short), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    return found.union(near).distinct()
+    """Whole passages in documents, over an index of the passages' rarest grams."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return containment.containing(docs, "doc_id", F.col("text"), items, "item_id", F.col("text"))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'accept' ELSE 'reject' END AS decision FROM labels")
@@ -213,14 +199,9 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
 def dedupe_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
-
-
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source, substr(text, 1, 40) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
-def dedupe_by_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first document of each source and head, as the SQL says; whole texts may differ."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\x01", "source", F.substring("text", 1, 40)).alias("key"))
-    return sequence.first_wins(rows, "key", "doc_id").select("doc_id")
+    """Texts meet as sha256; of every group only the first id and the count are gathered."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
 @query(r"SELECT min(page_id) AS page_id, count(*) AS copies FROM (SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS title FROM pages) GROUP BY title")
@@ -290,11 +271,15 @@ def decision_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("decision", F.lit("none")).alias("decision"))
 
 
-@query("SELECT n_nationkey, min(p_partkey) AS p_partkey FROM nation JOIN part ON contains(lower(p_name), lower(substr(n_name, 1, 2))) GROUP BY 1")
+@query("SELECT n_nationkey, min(o_orderkey) AS o_orderkey FROM nation JOIN orders ON contains(lower(o_orderpriority), lower(substr(n_name, 1, 1))) GROUP BY 1")
 def theta_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.substring("n_name", 1, 2)).alias("key")))  # 25 rows by definition
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    return parts.join(nations, F.contains("name", F.col("key"))).groupBy("n_nationkey").agg(F.min("p_partkey").alias("p_partkey"))
+    """For each nation the first order whose priority holds the first letter of its name."""
+    priorities = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.min("o_orderkey").alias("o_orderkey"))
+    nations = table(spark, sf_dir, "nation")
+    met = containment.containing(
+        priorities, "o_orderkey", F.lower("o_orderpriority"), nations, "n_nationkey", F.lower(F.substring("n_name", 1, 1))
+    )
+    return met.groupBy("n_nationkey").agg(F.min("o_orderkey").alias("o_orderkey"))
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages")
@@ -383,8 +368,8 @@ FRAGMENTS = ["BRAND#2", "3", "brand#14", "none"]
 def fragment_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each of four fragments the first row whose lower-cased brand holds it."""
     shortlist = spark.createDataFrame(list(enumerate(FRAGMENTS)), "pos int, fragment string")  # four rows
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_brand").alias("brand"))
-    met = parts.join(F.broadcast(shortlist), F.contains("brand", F.lower("fragment")))
+    parts = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    met = containment.containing(parts, "p_partkey", F.lower("p_brand"), shortlist, "pos", F.lower("fragment"))
     return met.groupBy("pos").agg(F.min("p_partkey").alias("p_partkey"))
 
 
