@@ -1,13 +1,14 @@
-"""Ordered operators: islands, phases, samples, batches.  One shuffle by the group key each."""
+"""Ordered operators: islands, phases, samples.  One shuffle by the group key each, but for those of `numbering`."""
 
 from __future__ import annotations
 
 import tempfile
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepwell.operators import numbering
+
 
 def islands(rows: DataFrame, group: str, at: str, keep: Column, *more: Column) -> DataFrame:
     """Maximal runs of consecutive positions that satisfy ``keep``: first, last, len and further aggregates."""
@@ -79,9 +80,8 @@ def phases(rows: DataFrame, group: str, at: str, kind: str, size: str | None = N
 
 def round_robin(rows: DataFrame, group: list[str], sub: str, at: str) -> DataFrame:
     """Position ``pos`` within each group: one row of every sub-group in turn."""
-    turn = F.row_number().over(Window.partitionBy(*group, sub).orderBy(at))
-    ranked = rows.withColumn("_t", turn)
-    return ranked.withColumn("pos", F.row_number().over(Window.partitionBy(*group).orderBy("_t", sub)).cast("bigint")).drop("_t")
+    turns = numbering.numbered(rows, [*group, sub], [at], "_t")
+    return numbering.numbered(turns, group, ["_t", sub]).drop("_t")
 
 
 def hash_sample(cases: DataFrame, case: str, group: str, limit: int, salt: str = "stepwell-v1:") -> DataFrame:
@@ -96,27 +96,7 @@ def hash_sample(cases: DataFrame, case: str, group: str, limit: int, salt: str =
     return picked.withColumn("_h", key(group)).orderBy("turn", "_h", group).limit(limit).drop("_h")
 
 
-def pack_batches(rows: DataFrame, group: str, at: str, size: str, budget: int, most: int) -> DataFrame:
-    """Greedy batches of consecutive rows under a size budget; batches never cross a group.
-
-    What a batch takes decides where the next begins, so each group is folded in order;
-    a row over the budget raises an error instead of being skipped.
-    """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        batch, used, count, out = 0, 0, 0, []
-        for n in pdf[size]:
-            if n > budget:
-                raise ValueError(f"a row of size {n} is over the budget of {budget}")
-            if count and (used + n > budget or count == most):
-                batch, used, count = batch + 1, 0, 0
-            used, count = used + n, count + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch bigint"
-    return rows.groupBy(group).applyInPandas(fold, schema)
+pack_batches = numbering.packed
 
 
 def latest(rows: DataFrame, key: str, value: str, at: str) -> DataFrame:

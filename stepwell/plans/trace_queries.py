@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepwell.operators import graph, sequence, signals
+from stepwell.operators import graph, numbering, sequence, signals
+from stepwell.operators.shared import stored
 from stepwell.plans.encoding import STEPS_SQL, steps, table
 
 QUERIES: dict = {}
@@ -208,8 +209,8 @@ def first_user_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(STEPS_SQL + "SELECT trial_id, i, row_number() OVER (PARTITION BY i ORDER BY trial_id) AS pos FROM steps")
 def step_major_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("i").orderBy("trial_id")).cast("bigint")
-    return steps(spark, sf_dir).select("trial_id", F.col("i").cast("bigint").alias("i"), pos.alias("pos"))
+    rows = steps(spark, sf_dir).select("trial_id", F.col("i").cast("bigint").alias("i"))
+    return numbering.numbered(rows, ["i"], ["trial_id"])
 
 
 @query(
@@ -252,7 +253,7 @@ SELECT trial_id, i, obs_chars, CAST(batch AS BIGINT) AS batch FROM packed"""
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 8 steps at most under a budget that often closes them earlier."""
     rows = steps(spark, sf_dir).select("trial_id", F.col("i").cast("bigint").alias("i"), "obs_chars")
-    return sequence.pack_batches(rows, "trial_id", "i", "obs_chars", 60_000, 8)
+    return numbering.packed(rows, "trial_id", "i", "obs_chars", 60_000, 8)
 
 
 READ_SQL = """, reads AS (SELECT trial_id, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY trial_id ORDER BY i) AS g FROM steps
@@ -294,11 +295,12 @@ def long_obs_by_verb(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM (SELECT trial_id, max(obs_chars) AS p FROM steps GROUP BY trial_id)"""
 )
 def peak_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peaks = steps(spark, sf_dir).groupBy("trial_id").agg(F.max("obs_chars").alias("p"))
+    peaks = stored(steps(spark, sf_dir).groupBy("trial_id").agg(F.max("obs_chars").alias("p")), "peaks")
+    median, upper = (F.lit(q).cast("double") for q in numbering.quantiles(peaks, "p", [0.5, 0.75]))
     return peaks.agg(
         F.round(F.sum("p").cast("double") / F.count("*"), 6).alias("mean"),
-        F.round(F.percentile("p", 0.5), 6).alias("median"),
-        F.round(F.percentile("p", 0.75), 6).alias("p75"),
+        F.round(F.first(median), 6).alias("median"),
+        F.round(F.first(upper), 6).alias("p75"),
         F.max("p").alias("most"),
     )
 

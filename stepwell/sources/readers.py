@@ -90,17 +90,22 @@ def final_metrics(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def checkpoint(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
-    """Last valid record of every (step, input_hash); ``records`` has (line_no, value)."""
+def valid_records(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
+    """``records`` whose ``value`` is a record of this version and fingerprint, with its step and input_hash."""
     doc = F.try_parse_json("value")
     rows = records.select(
-        "line_no",
+        *records.columns,
         F.try_variant_get(doc, "$.schema_version", "string").alias("version"),
         F.try_variant_get(doc, "$.annotator_fingerprint", "string").alias("fingerprint"),
         F.try_variant_get(doc, "$.step", "bigint").alias("step"),
         F.try_variant_get(doc, "$.input_hash", "string").alias("input_hash"),
-        "value",
-    ).filter((F.col("version") == version) & (F.col("fingerprint") == fingerprint) & F.col("step").isNotNull())
+    )
+    return rows.filter((F.col("version") == version) & (F.col("fingerprint") == fingerprint) & F.col("step").isNotNull())
+
+
+def checkpoint(records: DataFrame, version: str, fingerprint: str) -> DataFrame:
+    """Last valid record of every (step, input_hash); ``records`` has (line_no, value)."""
+    rows = valid_records(records.select("line_no", "value"), version, fingerprint)
     return rows.groupBy("step", "input_hash").agg(F.max_by("value", "line_no").alias("value"))
 
 

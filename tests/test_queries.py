@@ -2,9 +2,9 @@
 
 import pytest
 
-from stepwell.plans import corpus_queries, feature_queries, relational_queries, trace_queries
+from stepwell.plans import corpus_queries, feature_queries, relational_queries, scale_queries, trace_queries
 
-MODULES = (trace_queries, relational_queries, feature_queries, corpus_queries)
+MODULES = (trace_queries, relational_queries, feature_queries, corpus_queries, scale_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
