@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm import near_copies
+from stepwell.llm import shingles
 from stepwell.llm.common import MAX_KEYS, checked_broadcast, discard, documents, materialise
 from stepwell.llm.components import connected_components
 
@@ -100,14 +100,14 @@ def _marks(width: int):
     """doc_id, uid, sid, n and the sketch: how many shingles fall into each of 64 or about n/16 bins, 255 at most."""
 
     def make(batch: pa.RecordBatch, lo: int, hi: int):
-        row, h, size, sid = near_copies.shingle_sets(batch.column("text"), lo, hi, width)
+        row, h, size, sid = shingles.shingle_sets(batch.column("text"), lo, hi, width)
         bins = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(size, 16) / 16)).astype(np.int64))
         ends = np.cumsum(bins)
         at = (ends - bins)[row] + (h & (bins[row] - 1).astype(np.uint64)).astype(np.int64)
         counts = np.minimum(np.bincount(at, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
         sketch = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(counts)])
         ids = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "uid")]
-        return [*ids, near_copies._long(sid), pa.array(size.astype(np.int64)), sketch]
+        return [*ids, shingles.as_long(sid), pa.array(size.astype(np.int64)), sketch]
 
     return make
 
@@ -141,7 +141,7 @@ def _regions(width: int, pivots, common, num: int, den: int):
     r = 1 - num / den
 
     def make(batch: pa.RecordBatch, lo: int, hi: int):
-        row, h, size, sid = near_copies.shingle_sets(batch.column("text"), lo, hi, width)
+        row, h, size, sid = shingles.shingle_sets(batch.column("text"), lo, hi, width)
         table, names = pivots.value
         out = []
         nearest = np.ones(hi - lo)
@@ -167,7 +167,7 @@ def _regions(width: int, pivots, common, num: int, den: int):
         a = row[keep]
         out.append((h[order][keep].view(np.int64), a, pos[keep], np.zeros(len(a)), np.ones(len(a), bool)))
         region, a, pos, d, home = (np.concatenate(x) for x in zip(*out))
-        return [pa.array(region), near_copies._long(sid[a]), pa.array(size[a].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(d), pa.array(home)]
+        return [pa.array(region), shingles.as_long(sid[a]), pa.array(size[a].astype(np.int32)), pa.array(pos.astype(np.int32)), pa.array(d), pa.array(home)]
 
     return make
 
@@ -288,7 +288,7 @@ def _pivots(one: DataFrame, reps: DataFrame, width: int):
     """The pivots' table and names, on all executors."""
     spark = one.sparkSession
     drawn = reps.filter(F.col("n").between(1, PIVOT_SIZE)).orderBy(F.xxhash64("sid", F.lit(7)), "sid").limit(PIVOTS).select("uid")
-    found = near_copies._mapped(one.join(F.broadcast(drawn), "uid", "left_semi"), near_copies._whole(width), "sid long, h array<long>")
+    found = shingles.mapped(one.join(F.broadcast(drawn), "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
     rows = found.dropDuplicates(["sid"]).orderBy(F.xxhash64("sid", F.lit(7)), "sid").toPandas()
     sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows["h"]]
     taken = separated(sets) if sets else []
@@ -303,19 +303,19 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     """
     num, den = jaccard
     spark = docs.sparkSession
-    known = materialise(near_copies._mapped(docs, _marks(width), "doc_id long, uid long, sid long, n long, sketch binary"), "known")
+    known = materialise(shingles.mapped(docs, _marks(width), "doc_id long, uid long, sid long, n long, sketch binary"), "known")
     firsts = [F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("n").alias("n")]
     reps = known.filter("n > 0").groupBy("sid").agg(*firsts, F.first("sketch").alias("sketch"))
     reps = materialise(reps, "reps")
     # copies are left out where that costs no shuffle of texts; they make the same rows again
     one = docs.join(F.broadcast(reps.select("uid")), "uid", "left_semi") if reps.count() <= MAX_KEYS else docs
     pivots = _pivots(one, reps, width)
-    seen = near_copies._mapped(one, near_copies._sampled(width), "token long").groupBy("token").count()
-    top = seen.filter(F.col("count") >= near_copies.COMMON).orderBy(F.desc("count"), "token").limit(near_copies.MAX_COMMON).toPandas()
+    seen = shingles.mapped(one, shingles.sampled(width), "token long").groupBy("token").count()
+    top = seen.filter(F.col("count") >= shingles.COMMON).orderBy(F.desc("count"), "token").limit(shingles.MAX_COMMON).toPandas()
     top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
     common = spark.sparkContext.broadcast((top["token"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)))
     schema = "region long, sid long, n int, pos int, d double, home boolean"
-    placed = materialise(near_copies._mapped(one, _regions(width, pivots, common, num, den), schema), "placed")
+    placed = materialise(shingles.mapped(one, _regions(width, pivots, common, num, den), schema), "placed")
     several = placed.groupBy("region").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.max("home").alias("any"))
     several = materialise(several.filter("x < y AND any").select("region"), "several")
     rows = materialise(placed.join(several, "region").distinct(), "rows")
@@ -330,7 +330,7 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     pairs = materialise(drawn.mapInArrow(_sketched(num, den), "a long, b long"), "close")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
     uids = checked_broadcast(materialise(reps.join(need, "sid").select("uid"), "uids"))
-    sets = near_copies._mapped(one.join(uids, "uid", "left_semi"), near_copies._whole(width), "sid long, h array<long>")
+    sets = shingles.mapped(one.join(uids, "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
     sets = materialise(sets.dropDuplicates(["sid"]), "sets")
     asked = pairs.select(F.col("a").alias("part"), F.lit(False).alias("lead"), F.col("b").alias("sid"))
     asked = asked.union(pairs.select(F.col("a").alias("part"), F.lit(True).alias("lead"), F.col("a").alias("sid")).distinct())
