@@ -13,10 +13,19 @@ n - ceil(J n) + 1 shingles in an order common to all (this is a prefix filter).
 Regions of few sets are joined by candidate pairs: sizes, places of the shared shingle and the
 distances to the pivot must leave room for a link, and so must sketches: counts of a set's
 shingles by hash, whose differences never add up to more than the sets' own difference.  Only
-the sets of pairs that are left are sent to be compared.  In a large region sub-pivots are drawn;
-all sets within r of one are linked to it, and components are taken.  Only sets outside the
-region's main component are then compared, in blocks, with the region: a link between two
-components has one of them.  No link between different components is lost.
+the sets of pairs that are left are sent to be compared.
+
+In a large region sub-pivots are drawn, all sets within r of one are linked to it, and
+components are taken; only pairs between components are looked for from there on.  Around a
+pivot p a set x is known by its difference D(x) from p: x and y differ by as much as D(x) and
+D(y) do.  Sets within r of p are linked to it.  Of any other pair that is linked, the
+differences share an element, and in an order from rare to common the first one shared stands
+at places i and j with i + j <= t, the most by which linked sets of their sizes differ.  So
+each set is posted under its first t + 1 elements, and only postings up to t / 2 ask the
+others.  Pairs of which neither needs a shared element lie next to the ball, and are asked
+for there.  A large region of a shingle has no pivot near all its sets: those outside its
+main component are compared, in blocks, with the region.  No link between different
+components is lost.
 """
 
 from __future__ import annotations
@@ -112,28 +121,18 @@ def _marks(width: int):
     return make
 
 
-def _sketched(num: int, den: int):
-    """(a, b, na, nb, sa, sb) -> the pairs (a, b) whose sketches leave room for a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = np.ones(len(n), bool)
-            bins: dict[tuple[int, int], list[int]] = {}
-            sa, sb = batch.column("sa").to_pylist(), batch.column("sb").to_pylist()
-            for i, (x, y) in enumerate(zip(sa, sb)):
-                bins.setdefault((len(x), len(y)), []).append(i)
-            for (x, y), rows in bins.items():
-                a = np.frombuffer(b"".join(sa[i] for i in rows), np.uint8).reshape(len(rows), x)
-                b = np.frombuffer(b"".join(sb[i] for i in rows), np.uint8).reshape(len(rows), y)
-                full = (a == 255).any(axis=1) | (b == 255).any(axis=1)  # such counts may be larger
-                low = min(x, y)  # bins of the longer sketch fall into those of the shorter
-                a = a.astype(np.int64).reshape(len(rows), -1, low).sum(axis=1)
-                b = b.astype(np.int64).reshape(len(rows), -1, low).sum(axis=1)
-                keep[rows] = full | ((den + num) * np.abs(a - b).sum(axis=1) <= (den - num) * n[rows])
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], ["a", "b"])
-
-    return run
+def _room(a: bytes, others: list[bytes], n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of sketches, those that leave room for a link with sketch a; n: sizes of both sets together."""
+    keep = np.ones(len(others), bool)
+    x = np.frombuffer(a, np.uint8).astype(np.int64)
+    for length in {len(o) for o in others}:
+        rows = [i for i, o in enumerate(others) if len(o) == length]
+        b = np.frombuffer(b"".join(others[i] for i in rows), np.uint8).reshape(len(rows), length)
+        full = (b == 255).any(axis=1) | (x == 255).any()  # such counts may be larger
+        low = min(len(x), length)  # bins of the longer sketch fall into those of the shorter
+        diff = np.abs(b.astype(np.int64).reshape(len(rows), -1, low).sum(axis=1) - x.reshape(-1, low).sum(axis=0)).sum(axis=1)
+        keep[rows] = full | ((den + num) * diff <= (den - num) * n[rows])
+    return keep
 
 
 def _regions(width: int, pivots, common, num: int, den: int):
@@ -142,7 +141,7 @@ def _regions(width: int, pivots, common, num: int, den: int):
 
     def make(batch: pa.RecordBatch, lo: int, hi: int):
         row, h, size, sid = shingles.shingle_sets(batch.column("text"), lo, hi, width)
-        table, names = pivots.value
+        table, names, _ = pivots.value
         out = []
         nearest = np.ones(hi - lo)
         if len(names):
@@ -172,31 +171,37 @@ def _regions(width: int, pivots, common, num: int, den: int):
     return make
 
 
+def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
+    got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+
+
 def _pairs(num: int, den: int):
-    """Rows sorted by region -> candidate pairs (a, b) of sets of different components."""
+    """Rows sorted by region -> candidate pairs (a, b); regions are small."""
     r = 1 - num / den
 
     def room(n, at, m, to):
         return (num + den) * np.minimum(n - at, m - to) >= num * (n + m)
 
-    def pairs(k, sid, root, n, pos, d, home):
+    def pairs(k, sid, n, pos, d, home, sketch):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b = [], []
         for lo, hi in zip(first.tolist(), np.append(first[1:], len(k)).tolist()):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, hi)
-                j = j[(root[j] != root[i]) & (home[j] | home[i]) & (np.abs(d[j] - d[i]) <= r + SLACK) & room(n[i], pos[i], n[j], pos[j])]
-                a.append(sid[j])
-                b.append(np.full(len(j), sid[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        got = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+                j = j[(home[j] | home[i]) & (np.abs(d[j] - d[i]) <= r + SLACK) & room(n[i], pos[i], n[j], pos[j])]
+                if len(j):
+                    j = j[_room(sketch[i], [sketch[x] for x in j.tolist()], n[i] + n[j], num, den)]
+                    a.append(sid[j])
+                    b.append(np.full(len(j), sid[i]))
+        return _unique(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "sid", "root", "n", "pos", "d", "home")]
-            now[3:5] = [x.astype(np.int64) for x in now[3:5]]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "sid", "n", "pos", "d", "home", "sketch")]
+            now[2:4] = [x.astype(np.int64) for x in now[2:4]]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if len(now[0]) == 0:
                 continue
@@ -210,6 +215,37 @@ def _pairs(num: int, den: int):
     return run
 
 
+def _lead_pairs(num: int, den: int):
+    """Rows (part, lead, sid, root, n, nd, pos) sorted by part, leads first -> pairs of a lead and another row."""
+    names = ("sid", "root", "n", "nd", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leads = None, None
+        for batch in batches:
+            parts, lead = batch.column("part").to_numpy(), batch.column("lead").to_numpy(zero_copy_only=False)
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (lead[1:] != lead[:-1])]) if len(parts) else []
+            a, b = [], []
+            for lo, hi in zip(cuts, np.append(cuts[1:], len(parts))):
+                if parts[lo] != part:
+                    part, leads = parts[lo], np.zeros((len(names), 0), np.int64)
+                if lead[lo]:
+                    leads = np.concatenate([leads, rows[:, lo:hi]], axis=1)
+                    continue
+                sid, root, n, nd, pos = rows[:, lo:hi]
+                for x in range(0, leads.shape[1], 1024):
+                    lsid, lroot, ln, lnd, lpos = (c[:, None] for c in leads[:, x : x + 1024])
+                    most = (den - num) * (n + ln)
+                    good = (lroot != root) & (lsid != sid) & ((den + num) * (pos + lpos) <= most) & ((den + num) * np.abs(nd - lnd) <= most)
+                    good &= num * np.maximum(n, ln) <= den * np.minimum(n, ln)
+                    i, j = np.nonzero(good)
+                    a.append(lsid[i, 0])
+                    b.append(sid[j])
+            yield _unique(a, b)
+
+    return run
+
+
 def _meet(num: int, den: int):
     """Rows sorted by (part, lead first): every other row of a part against its leads -> links.
 
@@ -252,10 +288,7 @@ def _links(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return materialise(dealt.mapInArrow(_meet(num, den), "a long, b long").distinct(), "links")
 
 
-def _with_roots(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return rows.withColumn("root", F.col("sid"))
-    roots = materialise(connected_components(links, "a", "b"), "roots")
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, rows["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
 
 
@@ -284,6 +317,65 @@ def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _links(both, sets, num, den)
 
 
+def _differences(pivots, num: int, den: int):
+    """(region, sid, n, h) -> (region, sid, n, np, diff): what a set and the region's pivot don't share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {int(name): np.sort(s) for name, s in zip(pivots.value[1].tolist(), pivots.value[2])}
+        for batch in batches:
+            sizes, found = [], [np.zeros(0, np.uint64)]
+            for region, h in zip(batch.column("region").to_pylist(), batch.column("h")):
+                pivot = own[region]
+                found.append(np.setxor1d(h.values.to_numpy().view(np.uint64), pivot, assume_unique=True))
+                sizes.append((len(pivot), len(found[-1])))
+            sizes = np.array(sizes, np.int64).reshape(-1, 2)
+            offsets = pa.array(np.append(0, np.cumsum(sizes[:, 1])).astype(np.int32))
+            diff = pa.ListArray.from_arrays(offsets, shingles.as_long(np.concatenate(found)))
+            columns = [batch.column(c) for c in ("region", "sid", "n")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[:, 0]), diff], ["region", "sid", "n", "np", "diff"])
+
+    return run
+
+
+def _parted(rows: DataFrame, key: list[str], early) -> DataFrame:
+    """Rows (*key, sid, root, n, nd, pos) as parts for `_lead_pairs`: leads go to every chunk of their key."""
+    marked = rows.withColumn("early", early)
+    sizes = marked.groupBy(*key).agg(F.count("*").alias("c"), F.max("early").alias("any")).filter("c > 1 AND any")
+    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
+    marked = marked.join(materialise(sizes.select(*key, chunks.alias("chunks")), "cells"), key)
+    part = F.xxhash64(*key, "chunk").alias("part")
+    columns = ["sid", "root", "n", "nd", "pos"]
+    others = marked.withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int")).select(part, F.lit(False).alias("lead"), *columns)
+    leads = marked.filter("early").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return others.union(leads.select(part, F.lit(True).alias("lead"), *columns))
+
+
+def _around_pivots(large: DataFrame, sets: DataFrame, pivots, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large regions of pivots -> their differences (region, sid, n, np, diff, nd, ball), and links with the pivots."""
+    whole = large.select("region", "sid", "n").join(sets, "sid").select("region", "sid", "n", "h")
+    diffs = whole.mapInArrow(_differences(pivots, num, den), "region long, sid long, n int, np long, diff array<long>")
+    inside = (den + num) * F.size("diff") <= (den - num) * (F.col("n") + F.col("np"))
+    diffs = materialise(diffs.withColumn("nd", F.size("diff")).withColumn("ball", inside), "diffs")
+    return diffs, diffs.filter("ball AND nd > 0").select(F.col("sid").alias("a"), F.col("region").alias("b"))
+
+
+def _posted_pairs(diffs: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of sets of different components by their differences (with roots)."""
+    most = F.floor(F.col("n") * (den - num) / num)
+    each = diffs.select("region", "sid", "n", "root", "nd", F.explode("diff").alias("token"))
+    counts = each.groupBy("region", "token").agg(F.count("*").alias("seen"))
+    ordered = F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("tokens")
+    sorted_ = each.join(counts, ["region", "token"]).groupBy("region", "sid", "n", "root", "nd").agg(ordered)
+    posted = sorted_.select("region", "sid", "n", "root", "nd", F.posexplode("tokens").alias("pos", "x")).filter(F.col("pos") <= most)
+    posted = materialise(posted.filter("x.seen > 1").select("region", F.col("x.token").alias("token"), "sid", "root", "n", "nd", "pos"), "posted")
+    parts = _parted(posted, ["region", "token"], F.col("pos") * 2 <= most)
+    # no shared element is needed where both differences together are t at most
+    core = diffs.filter(F.col("nd") <= most).select("region", "sid", "root", "n", "nd", F.col("nd").alias("pos"), "ball")
+    parts = parts.union(_parted(core, ["region"], ~F.col("ball")))
+    dealt = parts.repartition("part").sortWithinPartitions("part", F.desc("lead"))
+    return materialise(dealt.mapInArrow(_lead_pairs(num, den), "a long, b long").distinct(), "pairs")
+
+
 def _pivots(one: DataFrame, reps: DataFrame, width: int):
     """The pivots' table and names, on all executors."""
     spark = one.sparkSession
@@ -292,7 +384,8 @@ def _pivots(one: DataFrame, reps: DataFrame, width: int):
     rows = found.dropDuplicates(["sid"]).orderBy(F.xxhash64("sid", F.lit(7)), "sid").toPandas()
     sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows["h"]]
     taken = separated(sets) if sets else []
-    return spark.sparkContext.broadcast((Table([sets[i] for i in taken]), rows["sid"].to_numpy(np.int64)[taken]))
+    sets = [sets[i] for i in taken]
+    return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy(np.int64)[taken], sets))
 
 
 def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -323,21 +416,28 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     counts = materialise(rows.groupBy("region").agg(F.count("*").alias("c")), "counts")
     rows = rows.join(counts, "region")
     small, large = rows.filter(F.col("c") <= LARGE), rows.filter(F.col("c") > LARGE)
-    by_pairs = small.withColumn("root", F.col("sid")).repartition("region").sortWithinPartitions("region")
+    by_pairs = small.join(reps.select("sid", "sketch"), "sid").select("region", "sid", "n", "pos", "d", "home", "sketch")
+    by_pairs = by_pairs.repartition("region").sortWithinPartitions("region")
     pairs = materialise(by_pairs.mapInArrow(_pairs(num, den), "a long, b long").distinct(), "pairs")
-    drawn = pairs.join(reps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    drawn = drawn.join(reps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    pairs = materialise(drawn.mapInArrow(_sketched(num, den), "a long, b long"), "close")
     need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
     uids = checked_broadcast(materialise(reps.join(need, "sid").select("uid"), "uids"))
     sets = shingles.mapped(one.join(uids, "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
     sets = materialise(sets.dropDuplicates(["sid"]), "sets")
-    asked = pairs.select(F.col("a").alias("part"), F.lit(False).alias("lead"), F.col("b").alias("sid"))
-    asked = asked.union(pairs.select(F.col("a").alias("part"), F.lit(True).alias("lead"), F.col("a").alias("sid")).distinct())
-    found = _links(asked, sets, num, den)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("part"), F.lit(False).alias("lead"), F.col("b").alias("sid"))
+        leads = pairs.select(F.col("a").alias("part"), F.lit(True).alias("lead"), F.col("a").alias("sid")).distinct()
+        return _links(asked.union(leads), sets, num, den)
+
+    found = confirmed(pairs)
     if large.take(1):
-        found = materialise(found.union(_sub_pivots(large, sets, num, den)).distinct(), "found")
-        found = found.union(_blocks(_with_roots(large, found), sets, num, den))
+        names = F.broadcast(spark.createDataFrame([(int(x),) for x in pivots.value[1]], "region long"))  # PIVOTS rows at most
+        diffs, ball = _around_pivots(large.join(names, "region", "left_semi"), sets, pivots, num, den)
+        found = materialise(found.union(ball).union(_sub_pivots(large, sets, num, den)).distinct(), "found")
+        roots = materialise(connected_components(found, "a", "b"), "roots")
+        found = found.union(confirmed(_posted_pairs(_rooted(diffs, roots), num, den)))
+        of_shingles = materialise(_rooted(large.join(names, "region", "left_anti"), roots), "rooted")
+        found = found.union(_blocks(of_shingles, sets, num, den))
     return known, reps, found
 
 
