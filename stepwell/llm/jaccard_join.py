@@ -45,11 +45,11 @@ WIDTH = 3
 #: Similarity as a fraction.
 JACCARD = (9, 10)
 #: Sets drawn as pivots and their largest size; distance at which pivots lie apart, and radius of a region.
-PIVOTS, PIVOT_SIZE, APART, INSIDE = 1024, 4096, 0.5, 0.6
-#: Rows of a region that is joined by pairs; sub-pivots of larger ones.
-LARGE, SUB_PIVOTS = 64, 16
+PIVOTS, PIVOT_SIZE, APART, INSIDE = 1024, 4096, 0.35, 0.35
+#: Rows of a region of a pivot, and of a shingle, that is joined by pairs; sub-pivots of larger ones.
+LARGE, CELL, SUB_PIVOTS = 64, 256, 16
 #: Sets of a region that meet a block, and sets (and shingles) of a block.
-CHUNK, BLOCK, BLOCK_SHINGLES = 128, 64, 1 << 16
+CHUNK, BLOCK, BLOCK_SHINGLES = 128, 256, 1 << 17
 #: Room for rounding in comparisons of distances.
 SLACK = 1e-9
 
@@ -415,7 +415,10 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     discard(placed)
     counts = materialise(rows.groupBy("region").agg(F.count("*").alias("c")), "counts")
     rows = rows.join(counts, "region")
-    small, large = rows.filter(F.col("c") <= LARGE), rows.filter(F.col("c") > LARGE)
+    names = F.broadcast(spark.createDataFrame([(int(x), LARGE) for x in pivots.value[1]], "region long, most int"))  # PIVOTS rows at most
+    rows = materialise(rows.join(names, "region", "left").withColumn("by_pivot", F.col("most").isNotNull()), "counted")
+    fits = F.col("c") <= F.coalesce("most", F.lit(CELL))
+    small, large = rows.filter(fits), rows.filter(~fits)
     by_pairs = small.join(reps.select("sid", "sketch"), "sid").select("region", "sid", "n", "pos", "d", "home", "sketch")
     by_pairs = by_pairs.repartition("region").sortWithinPartitions("region")
     pairs = materialise(by_pairs.mapInArrow(_pairs(num, den), "a long, b long").distinct(), "pairs")
@@ -431,12 +434,11 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
 
     found = confirmed(pairs)
     if large.take(1):
-        names = F.broadcast(spark.createDataFrame([(int(x),) for x in pivots.value[1]], "region long"))  # PIVOTS rows at most
-        diffs, ball = _around_pivots(large.join(names, "region", "left_semi"), sets, pivots, num, den)
+        diffs, ball = _around_pivots(large.filter("by_pivot"), sets, pivots, num, den)
         found = materialise(found.union(ball).union(_sub_pivots(large, sets, num, den)).distinct(), "found")
         roots = materialise(connected_components(found, "a", "b"), "roots")
         found = found.union(confirmed(_posted_pairs(_rooted(diffs, roots), num, den)))
-        of_shingles = materialise(_rooted(large.join(names, "region", "left_anti"), roots), "rooted")
+        of_shingles = materialise(_rooted(large.filter("NOT by_pivot"), roots), "rooted")
         found = found.union(_blocks(of_shingles, sets, num, den))
     return known, reps, found
 

@@ -61,7 +61,7 @@ def test_op11_awkward_rows(spark, pivots, monkeypatch):
 
 @pytest.mark.parametrize("pivots", [64, 0])
 def test_op11_large_regions(spark, pivots, monkeypatch):
-    for name, value in (("PIVOTS", pivots), ("LARGE", 8), ("SUB_PIVOTS", 3), ("CHUNK", 16), ("BLOCK", 7), ("MAX_KEYS", 0)):
+    for name, value in (("PIVOTS", pivots), ("LARGE", 8), ("CELL", 8), ("SUB_PIVOTS", 3), ("CHUNK", 16), ("BLOCK", 7), ("MAX_KEYS", 0)):
         monkeypatch.setattr(jaccard_join, name, value)
     rows = list(enumerate(near_group(120) + near_group(60, 6)[::-1] + [f"only {i} of a kind {i * 7}" for i in range(40)]))
     want = brute.jaccard_components(rows)
