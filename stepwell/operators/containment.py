@@ -67,8 +67,12 @@ def _grams(column: pa.Array, sizes: list[int], seen: np.ndarray | None) -> Itera
                 at = np.flatnonzero(seen[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
             row = np.searchsorted(offsets, at + lo, "right") - 1
             inside = at + lo + size <= offsets[row + 1]
-            pairs = np.unique(np.stack([row[inside], gram[at[inside]].view(np.int64)]), axis=1)
-            yield size, pairs[0], pairs[1]
+            row, found = row[inside], gram[at[inside]].view(np.int64)
+            order = np.lexsort((found, row))
+            row, found = row[order], found[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (found[1:] != found[:-1])
+            yield size, row[new], found[new]
 
 
 def _passage_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
