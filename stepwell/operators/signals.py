@@ -40,9 +40,8 @@ def kept_steps(steps: DataFrame) -> DataFrame:
     fields = [c for c in steps.columns if c != "trial_id"]
     nodes = F.array_sort(F.collect_list(F.struct("i", *[c for c in fields if c != "i"])))
     trials = steps.groupBy("trial_id").agg(nodes.alias("nodes"))
-    keep = graph.closure_of(F.col("nodes"), F.element_at("nodes", -1)["i"])
-    laid = trials.select("trial_id", keep.alias("keep"), "nodes").select("trial_id", "keep", F.inline("nodes"))
-    return laid.select("trial_id", *fields, F.array_contains("keep", F.col("i")).alias("kept"))
+    marked = graph.with_kept(F.col("nodes"), F.element_at("nodes", -1)["i"])
+    return trials.select("trial_id", F.inline(marked)).select("trial_id", *fields, "kept")
 
 
 def skippable(kept: DataFrame) -> DataFrame:
