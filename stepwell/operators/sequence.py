@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepwell.operators import numbering
+from stepwell.operators.shared import forget, stored
 
 
 def islands(rows: DataFrame, group: str, at: str, keep: Column, *more: Column) -> DataFrame:
@@ -109,6 +110,76 @@ def first_wins(rows: DataFrame, key: str, at: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
+def _least_two(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the first and the second place of their key, as _first and _second; a null key has none."""
+    first = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_at").alias("_first"))
+    marked = rows.join(first, key, "left")
+    second = marked.filter(F.col("_at") > F.col("_first")).groupBy(key).agg(F.min("_at").alias("_second"))
+    return marked.join(second, key, "left")
+
+
+def _chained(links: DataFrame) -> DataFrame:
+    """(at, to, odd) with each row's own predecessor -> the same with the row at the chain's root.
+
+    A round joins the unfinished pointers with all pointers of that length, so chains of n
+    rows take log2(n) rounds.  Pointers that have arrived are set aside.
+    """
+    links = stored(links, "links")
+    ends, jumps = [], links
+    while links.take(1):
+        ahead = jumps.select(F.col("at").alias("_via"), F.col("to").alias("_on"), F.col("odd").alias("_also"))
+        met = stored(links.join(ahead, F.col("to") == F.col("_via"), "left"), "jumped")
+        forget(links)
+        ends.append(stored(met.filter("_via IS NULL").select("at", "to", "odd"), "ends"))
+        links = stored(met.filter("_via IS NOT NULL").select("at", F.col("_on").alias("to"), (F.col("odd") != F.col("_also")).alias("odd")), "links")
+        forget(met)
+        jumps = functools.reduce(DataFrame.union, ends, links)
+    return functools.reduce(DataFrame.union, ends, links)
+
+
+def first_matching(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (_at, _a, _b) that share no key with a kept row before them, and the rounds taken.
+
+    In a round, a row that is the first undecided one of both its keys is kept.  A row with exactly one
+    undecided row before it that shares a key is kept if that row is not: these rows make chains, and
+    pointer doubling gives each its distance to the chain's root.  Where the root is kept, rows
+    at an even distance are kept too.  Rows that share a key with a kept row go, the others wait for the
+    next round.  A chain of any length takes one round; a further round is only needed behind rows that
+    several undecided rows come before.  (In general such an order can't be evaluated in
+    parallel: it is as hard as any circuit.)  Each key's group adds its least two places only.
+    """
+    undecided = stored(rows.select("_at", "_a", "_b"), "undecided")
+    kept: list[DataFrame] = []
+    while undecided.take(1):
+        of_a = _least_two(undecided, "_a").withColumnsRenamed({"_first": "_first_a", "_second": "_second_a"})
+        both = _least_two(of_a, "_b")
+
+        def before(first: str, second: str) -> Column:
+            """Undecided rows of the key before this one: 0, 1, or 2 for more."""
+            at = F.col("_at")
+            return F.when(at <= F.coalesce(F.col(first), at), F.lit(0)).when(at == F.col(second), F.lit(1)).otherwise(F.lit(2))
+
+        n_a, n_b = before("_first_a", "_second_a"), before("_first", "_second")
+        marked = both.withColumn("_n_a", n_a).withColumn("_n_b", n_b)
+        one_a, one_b = F.when(F.col("_n_a") == 1, F.col("_first_a")), F.when(F.col("_n_b") == 1, F.col("_first"))
+        marked = marked.withColumn("_to", F.coalesce(one_a, one_b))
+        single = (F.greatest("_n_a", "_n_b") == 1) & ((F.least("_n_a", "_n_b") == 0) | (F.col("_first_a") == F.col("_first")))
+        root = F.greatest("_n_a", "_n_b") == 0
+        marked = stored(marked.select("_at", "_a", "_b", "_to", root.alias("_root"), single.alias("_single")), "marked")
+        roots = marked.filter("_root")
+        ends = _chained(marked.filter("_single").select(F.col("_at").alias("at"), F.col("_to").alias("to"), F.lit(True).alias("odd")))
+        even = ends.filter("NOT odd").join(roots.select(F.col("_at").alias("to")), "to", "left_semi").select(F.col("at").alias("_at"))
+        now = roots.select("_at", "_a", "_b").union(marked.join(even, "_at", "left_semi").select("_at", "_a", "_b"))
+        now = stored(now, "kept")
+        kept.append(now)
+        left = undecided.join(now.select("_b"), "_b", "left_anti")
+        left = stored(left.join(now.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti").select("_at", "_a", "_b"), "undecided")
+        for done in (undecided, marked, ends):
+            forget(done)
+        undecided = left
+    return functools.reduce(DataFrame.union, kept, undecided), len(kept)
+
+
 def two_key_dedupe(rows: DataFrame, at: str, key_a: str, key_b: str, fill: str, source: str) -> DataFrame:
     """In-order dedupe by two keys: a row goes if a kept row before it has one of its keys.
 
@@ -117,28 +188,12 @@ def two_key_dedupe(rows: DataFrame, at: str, key_a: str, key_b: str, fill: str,
     fills an empty ``fill``, and ``sources`` unites the values of ``source``.  ``at`` is
     unique and not null.
 
-    The fold is solved by joins over the whole table: the first undecided row of both
-    its keys is kept, rows that share a key with it go, and so on until none is left.
-    No group of rows is gathered in one place.
+    The fold is solved by joins over the whole table (`first_matching`), so no group of rows
+    is gathered in one place, and chains of keys take a logarithmic number of joins.
     """
-    spark = rows.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:  # else the cluster's shared folder
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        alone = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        spark.sparkContext.setCheckpointDir(shared or (tempfile.mkdtemp(prefix="stepwell-") if alone else spark.conf.get("spark.sql.warehouse.dir")))
     a, b = F.nullif(F.col(key_a), F.lit("")), F.coalesce(F.col(key_b), F.lit(""))
     base = rows.withColumn("_a", a).withColumn("_b", b)
-    undecided = base.select(F.col(at).alias("_at"), "_a", "_b").checkpoint()
-    kept = undecided.limit(0)
-    while undecided.take(1):
-        of_a = undecided.filter("_a IS NOT NULL").groupBy("_a").agg(F.min("_at").alias("_first_a"))
-        of_b = undecided.groupBy("_b").agg(F.min("_at").alias("_first_b"))
-        marked = undecided.join(of_b, "_b").join(of_a, "_a", "left")
-        now = marked.filter((F.col("_at") == F.col("_first_b")) & (F.col("_at") == F.coalesce("_first_a", "_at")))
-        now = now.select("_at", "_a", "_b").checkpoint()
-        kept = kept.union(now)
-        left = undecided.join(now.select("_b"), "_b", "left_anti")
-        undecided = left.join(now.filter("_a IS NOT NULL").select("_a"), "_a", "left_anti").select("_at", "_a", "_b").checkpoint()
+    kept, _ = first_matching(base.select(F.col(at).alias("_at"), "_a", "_b"))
     kept = kept.select(F.col("_at").alias("_base"), F.col("_a").alias("_base_a"))
     heads = base.join(kept, F.col(at) == F.col("_base")).drop("_base_a")
     later = kept.filter("_base_a IS NOT NULL").join(base, F.col("_base_a") == F.col("_a")).filter(F.col(at) >= F.col("_base"))
