@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.operators import merkle
-from stepwell.operators.shared import shared_path
+from stepwell.operators import merkle, reads
+from stepwell.operators.shared import shared_path, stored
 from stepwell.plans.encoding import table
 from stepwell.sources.jsonl import checkpoint_files
 from stepwell.streaming import annotation
@@ -114,3 +114,41 @@ def merkle_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = docs.filter("n_chars % 89 <> 1").select("source", "doc_id", F.sha2(later, 256).alias("sha"))
     old = docs.filter("n_chars % 83 <> 2").select("source", "doc_id", F.sha2("text", 256).alias("sha"))
     return merkle.changes(old, new, "source", "doc_id", "sha")
+
+
+@query(
+    r"""WITH files AS (SELECT 'd' || doc_id % 20 || '/' || doc_id % 7 || '/' || doc_id || '.md' AS path, string_split(replace(coalesce(text, ''), '. ', '.' || chr(10)), chr(10)) AS l FROM documents),
+reads AS (SELECT user_id AS request, event_id AS entry, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+entries AS (SELECT *, CASE WHEN k % 50 = 49 THEN NULL WHEN k % 5 IN (0, 1) THEN 'd' || k % 20 || '/' || k % 7 || '/' || k || '.md' WHEN k % 5 = 2 THEN 'd' || k % 20 || '/?/' || k || '*.md'
+ WHEN k % 5 = 3 THEN 'd[!2-9]/[0-3]/' || k || '[05].md' ELSE '*/*/' || k || '.md' END AS spec,
+ CASE WHEN k % 5 = 2 THEN 'd' || k % 20 || '/[0-9]/' || k || '[0-9]*[.]md' WHEN k % 5 = 3 THEN 'd[01]/[0-3]/' || k || '[05][.]md' WHEN k % 5 = 4 THEN '[^/]+/[^/]+/' || k || '[.]md' END AS regex FROM reads),
+found AS (SELECT s.spec, f.path FROM (SELECT DISTINCT spec, regex FROM entries WHERE regex IS NOT NULL AND spec IS NOT NULL) s JOIN files f ON regexp_full_match(f.path, s.regex)),
+blocks AS (SELECT e.*, coalesce(g.path, CASE WHEN regex IS NULL THEN e.spec END) AS path FROM entries e LEFT JOIN found g ON g.spec = e.spec),
+lines AS (SELECT b.*, f.l IS NOT NULL AS there, list_transform(f.l, lambda x, i: CASE WHEN i < len(f.l) THEN x || chr(10) ELSE x END) AS l,
+ CASE WHEN f.l[-1] = '' THEN len(f.l) - 1 ELSE len(f.l) END AS total, count(*) OVER (PARTITION BY request) > 1 AS several FROM blocks b LEFT JOIN files f ON f.path = b.path),
+cut AS (SELECT *, CASE k % 3 WHEN 0 THEN l[1:k % 5] WHEN 1 THEN l[2:4] ELSE l[1:50] END AS c, CASE k % 3 WHEN 1 THEN 2 ELSE 1 END AS n FROM lines),
+bodies AS (SELECT *, array_to_string(CASE WHEN k % 2 = 1 THEN list_transform(c[1:greatest(total - n + 1, 0)], lambda x, i: lpad(CAST(n + i - 1 AS VARCHAR), greatest(length(CAST(total AS VARCHAR)), length(CAST(n + i - 1 AS VARCHAR)))::INTEGER, ' ') || chr(9) || x) ELSE c END, '') AS body FROM cut),
+texts AS (SELECT request, entry, path, CASE WHEN path IS NULL THEN '=== ' || coalesce(spec, 'None') || ' ===' || chr(10) || '<skipped: invalid path or no glob matches>'
+ WHEN NOT there THEN '=== ' || path || ' ===' || chr(10) || 'file not found: ' || path
+ ELSE CASE WHEN several THEN '=== ' || path || ' ===' || chr(10) ELSE '' END || CASE WHEN regexp_matches(body, '[^\s]') THEN body ELSE '(empty file)' END END AS block, path IS NULL OR NOT there AS failed FROM bodies),
+joined AS (SELECT request, string_agg(block, chr(10) || chr(10) ORDER BY entry, path) AS output, max(CAST(failed AS INTEGER)) AS rc, count(*) AS n_blocks FROM texts GROUP BY request)
+SELECT request, CASE WHEN length(output) > 3000 THEN substr(output, 1, 3000) || chr(10) || '... (output truncated from ' || length(output) || ' to 3000 chars)' ELSE output END AS output, rc, n_blocks FROM joined"""
+)
+def glob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as reads of documents by path or glob, each with a range: one answer a user, with headers and return code."""
+    docs, k = table(spark, sf_dir, "documents"), F.get_json_object("props", "$.k").cast("bigint")
+    path = F.concat(F.lit("d"), F.col("doc_id") % 20, F.lit("/"), F.col("doc_id") % 7, F.lit("/"), F.col("doc_id"), F.lit(".md"))
+    files = docs.select(path.alias("path"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n")).alias("text"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("request"), F.col("event_id").alias("entry"), k.alias("k"))
+    k = F.col("k")
+    spec = (
+        F.when(k % 50 == 49, None)
+        .when((k % 5).isin(0, 1), F.concat(F.lit("d"), k % 20, F.lit("/"), k % 7, F.lit("/"), k, F.lit(".md")))
+        .when(k % 5 == 2, F.concat(F.lit("d"), k % 20, F.lit("/?/"), k, F.lit("*.md")))
+        .when(k % 5 == 3, F.concat(F.lit("d[!2-9]/[0-3]/"), k, F.lit("[05].md")))
+        .otherwise(F.concat(F.lit("*/*/"), k, F.lit(".md")))
+    )
+    entries = rows.withColumns(
+        {"spec": spec, "head": F.when(k % 3 == 0, (k % 5).cast("int")), "lines": F.when(k % 3 == 1, "2-4"), "number": k % 2 == 1}
+    )
+    return reads.answers(stored(reads.blocks(entries, files), "blocks"))
