@@ -86,10 +86,9 @@ def expanded(entries: DataFrame, files: DataFrame) -> DataFrame:
     return found.unionByName(plain)
 
 
-def _selected(text: Column) -> tuple[Column, Column]:
-    """(chosen lines as one text, error or null) of a file by the range columns: lines, head, tail,
+def _selected(rows: Column) -> tuple[Column, Column]:
+    """(chosen lines as one text, error or null) of a file's lines by the range columns: lines, head, tail,
     start and end, in this order of precedence, else the first lines."""
-    rows = F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
     total = F.size(rows)
     bounds = F.split("lines", "-")
     by_lines = F.coalesce(F.col("lines") != "", F.lit(False))
@@ -123,11 +122,12 @@ def blocks(entries: DataFrame, files: DataFrame) -> DataFrame:
         if name not in entries.columns:
             entries = entries.withColumn(name, F.lit(None).cast(kind))
     entries = entries.select("request", "entry", "spec", *RANGE)
-    files = files.select("path", F.coalesce("text", F.lit("")).alias("text"), F.lit(True).alias("there"))
+    lines = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?<=\n)"), lambda line: line != "")  # once a file, before the join
+    files = files.select("path", lines.alias("rows"), F.lit(True).alias("there"))
     placed = numbered(expanded(entries, files), ["request"], ["entry", "path"])
     counts = placed.groupBy(F.col("request").alias("of")).agg((F.count("*") > 1).alias("several"))
     read = placed.join(files, "path", "left").join(counts, F.col("request").eqNullSafe(F.col("of")))
-    content, error = _selected(F.col("text"))
+    content, error = _selected(F.col("rows"))
     error = F.when(F.col("there").isNull(), F.concat(F.lit("file not found: "), F.col("path"))).otherwise(error)
     skipped = F.lit("<skipped: invalid path or no glob matches>")
     read = read.withColumn("problem", F.when(F.col("path").isNull(), skipped).otherwise(error))

@@ -9,6 +9,7 @@ from stepwell.operators import merkle, reads
 from stepwell.operators.shared import shared_path, stored
 from stepwell.plans.encoding import table
 from stepwell.sources.jsonl import checkpoint_files
+from stepwell.sources.versions import Versions
 from stepwell.streaming import annotation
 
 QUERIES: dict = {}
@@ -152,3 +153,24 @@ def glob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"spec": spec, "head": F.when(k % 3 == 0, (k % 5).cast("int")), "lines": F.when(k % 3 == 1, "2-4"), "number": k % 2 == 1}
     )
     return reads.answers(stored(reads.blocks(entries, files), "blocks"))
+
+
+@query(
+    """WITH a AS (SELECT source || '/' || doc_id AS path, source, text AS content FROM documents),
+b AS (SELECT source || '/' || doc_id AS path, source, text || CASE WHEN n_chars % 97 = 0 THEN '.' ELSE '' END AS content FROM documents WHERE n_chars % 89 <> 1),
+promoted AS (SELECT path, content FROM a WHERE right(source, 1) NOT IN ('1', '3', '5') UNION ALL SELECT path, content FROM b WHERE right(source, 1) IN ('1', '3', '5')),
+versions AS (SELECT 0 AS place, path, content FROM a UNION ALL SELECT 1, path, content FROM b UNION ALL SELECT 2, path, content FROM promoted UNION ALL SELECT 3, path, content FROM a)
+SELECT place, path, sha256(content) AS digest FROM versions"""
+)
+def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: two snapshots, the second's files of some sources promoted, the first restored; what each state reads back."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "doc_id").alias("path")
+    changed = F.concat("text", F.when(F.col("n_chars") % 97 == 0, ".").otherwise("")).alias("content")
+    kept = Versions(spark, shared_path(spark, "versions"))
+    first = kept.snapshot(docs.select(path, F.col("text").alias("content")))
+    second = kept.snapshot(docs.filter("n_chars % 89 <> 1").select(path, changed))
+    kept.promote(first, second, docs.filter("right(source, 1) IN ('1', '3', '5')").select(path))
+    kept.restore(first)
+    states = [kept.read(v).select(F.lit(i).alias("place"), "path", F.sha2("content", 256).alias("digest")) for i, v in enumerate(kept.history())]
+    return states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])
