@@ -11,11 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Which kind of step a command's verb makes.
-READ_VERBS = "cat head tail sed grep rg find ls nl wc file stat awk less more od".split()
-WRITE_VERBS = "rm mv cp mkdir touch chmod chown tee ln truncate install".split()
-VERIFY_VERBS = "go cargo npm npx pytest make mvn gradle python python3 ruby node".split()
-GIT_WRITES = "checkout reset apply add commit stash rm mv init rebase merge".split()
-PREFIX_WORDS = "sudo env time nohup exec".split()
+READ_VERBS = ["cat", "head", "tail", "sed", "grep", "rg", "find", "ls", "nl", "wc", "file", "stat", "awk", "less", "more", "od"]
+WRITE_VERBS = ["rm", "mv", "cp", "mkdir", "touch", "chmod", "chown", "tee", "ln", "truncate", "install"]
+VERIFY_VERBS = ["go", "cargo", "npm", "npx", "pytest", "make", "mvn", "gradle", "python", "python3", "ruby", "node"]
+GIT_WRITES = ["checkout", "reset", "apply", "add", "commit", "stash", "rm", "mv", "init", "rebase", "merge"]
+PREFIX_WORDS = ["sudo", "env", "time", "nohup", "exec"]
 ERROR_MARKS = [
     "no such file or directory",
     "file not found",

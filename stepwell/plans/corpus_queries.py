@@ -200,7 +200,7 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Folders that walks leave out.
-SKIPPED = ".git node_modules __pycache__ venv .venv dist build .tox .eggs *.egg-info".split()
+SKIPPED = [".git", "node_modules", "__pycache__", "venv", ".venv", "dist", "build", ".tox", ".eggs", "*.egg-info"]
 
 
 @query(f"SELECT p_partkey, path FROM ({PATHS}) WHERE p_partkey % 6 > 3")

@@ -287,6 +287,17 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.html_title(F.col("html")).alias("title"))
 
 
+@query(
+    r"""WITH t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS title FROM t)
+SELECT title, count(*) AS n, min(page_id) AS page_id FROM u GROUP BY title"""
+)
+def readable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by title, entities resolved."""
+    rows = table(spark, sf_dir, "pages").select("page_id", tx.readable(tx.html_title(F.col("html"))).alias("title"))
+    return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
+
+
 @query("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(tx.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))

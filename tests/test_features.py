@@ -208,3 +208,32 @@ def test_flags_of_steps(spark):
     rows = [(1, 1, "read", "cat", 0, "", ["a"]), (1, 2, "write", "rm", 124, "Timed out", []), (1, 3, "read", "cat", 0, "", ["a"]), (1, 4, "read", "grep", 1, "", ["b"]), (1, 5, "explore", "x", None, "", [])]
     got = corpus.step_flags(spark.createDataFrame(rows, "trial_id long, i int, op_type string, verb string, rc int, output string, files array<string>")).orderBy("i").collect()
     assert [(r.is_wasted, r.is_timeout, r.is_redundant_read) for r in got] == [(False, False, False), (True, True, False), (False, False, True), (False, False, False), (False, False, False)]
+
+
+def test_html_fields_in_any_attribute_order(spark):
+    html = """<head><title lang="en">Plain &amp;
+ <i>simple</i></title><META content='Tom &amp; "Ann" > all' data-name="x" name='citation_title'><meta name="description" content="">
+<meta name=citation_date content=2021/05><blockquote class="x">no</blockquote><BLOCKQUOTE id="q" class='big abstract'>\n<b>Abstract:</b> a &lt; b</BLOCKQUOTE>"""
+    x = F.col("x")
+    assert one(spark, html, "string", tx.readable(tx.html_title(x)), tx.readable(tx.html_abstract(x)), tx.html_year(x), tx.readable(tx.html_meta(x, "citation_title"))) == ('Tom & "Ann" > all', "a < b", "2021", 'Tom & "Ann" > all')
+    assert one(spark, "<title>Plain &amp;\n <i>simple</i></title>", "string", tx.readable(tx.html_title(x)), tx.html_abstract(x), tx.html_year(x)) == ("Plain & simple", "", "")
+    assert one(spark, "", "string", tx.html_title(x), tx.html_abstract(x), tx.html_year(x), tx.html_meta(x, "a")) == ("", "", "", "")
+    assert one(spark, None, "string", tx.html_title(x), tx.html_abstract(x), tx.html_year(x), tx.html_meta(x, "a")) == (None, None, None, None)
+
+
+def test_pdf_rules(spark):
+    known = {
+        "http://export.arxiv.org/pdf/2101.00001v2": "https://arxiv.org/pdf/2101.00001.pdf",
+        "https://openreview.net/forum?id=a1": "https://openreview.net/pdf?id=a1",
+        "https://openreview.net/pdf?id=a1": "https://openreview.net/pdf?id=a1",
+        "https://proceedings.neurips.cc/paper_files/paper/2023/hash/ab12-Abstract.html": "https://proceedings.neurips.cc/paper_files/paper/2023/file/ab12-Paper.pdf",
+        "https://proceedings.mlr.press/v1/x.html": "https://proceedings.mlr.press/v1/x.pdf",
+        "https://aclanthology.org/2020.x//": "https://aclanthology.org/2020.x.pdf",
+        "https://aclanthology.org/2020.y": "https://aclanthology.org/2020.y.pdf",
+        "https://x.org/a.PDF": "https://x.org/a.PDF",
+        "https://notarxiv.org/abs/2101.00001": None,
+        "": None,
+        None: None,
+    }
+    for url, pdf in known.items():
+        assert one(spark, url, "string", tx.pdf_url(F.col("x"))) == pdf, url
