@@ -298,6 +298,19 @@ def readable_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("page_id").alias("page_id"))
 
 
+@query(
+    """WITH i AS (SELECT event_id, sha256('{"event": "' || event_type || '", "z": {"a": [' || user_id || ', "é"], "b": ' || json_extract_string(props, '$.k') || '}}') AS identity FROM events)
+SELECT identity, count(*) AS n, min(event_id) AS event_id FROM i GROUP BY identity"""
+)
+def argument_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as nested arguments, written in two orders and spacings: those of one value share an identity."""
+    k, user, event = F.get_json_object("props", "$.k"), F.col("user_id"), F.col("event_type")
+    one = F.concat(F.lit('{"z":{"b":'), k, F.lit(',"a":['), user, F.lit(',"\\u00e9"]},"event":"'), event, F.lit('"}'))
+    two = F.concat(F.lit('{ "event" : "'), event, F.lit('", "z": {"a": [ '), user, F.lit(' , "é"], "b": '), k, F.lit("} }"))
+    rows = table(spark, sf_dir, "events").select("event_id", tx.identity(F.when(F.col("event_id") % 2 == 0, one).otherwise(two)).alias("identity"))
+    return rows.groupBy("identity").agg(F.count("*").alias("n"), F.min("event_id").alias("event_id"))
+
+
 @query("SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)', 1)) AS host, count(*) AS n FROM pages GROUP BY 1")
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(tx.url_host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))

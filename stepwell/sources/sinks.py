@@ -26,6 +26,7 @@ def markdown_rows(df: DataFrame) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report of at most ``most`` rows as text."""
+    """A report of at most ``most`` rows as text; a last line says if there were more (``markdown_rows`` has all)."""
     head = "| " + " | ".join(df.columns) + " |\n|" + " - |" * len(df.columns)
-    return "\n".join([head, *(r.line for r in markdown_rows(df).limit(most).collect())])
+    lines = [r.line for r in markdown_rows(df).limit(most + 1).collect()]
+    return "\n".join([head, *lines[:most], *([f"\nOnly the first {most} rows are shown."] if len(lines) > most else [])])

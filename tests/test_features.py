@@ -237,3 +237,24 @@ def test_pdf_rules(spark):
     }
     for url, pdf in known.items():
         assert one(spark, url, "string", tx.pdf_url(F.col("x"))) == pdf, url
+
+
+def test_canonical_json(spark):
+    text = '{"b": [1, 2.50, {"y": null, "x": "\\u00e9\\n"}], "a": true, "a": false}'
+    x = F.col("x")
+    spaced, tight, kept = tx.canonical_json(), tx.canonical_json(spaced=False), tx.canonical_json(ordered=False)
+    assert one(spark, text, "string", spaced(x), tight(x), kept(x)) == (
+        '{"a": false, "b": [1, 2.5, {"x": "é\\n", "y": null}]}',
+        '{"a":false,"b":[1,2.5,{"x":"é\\n","y":null}]}',
+        '{"b": [1, 2.5, {"y": null, "x": "é\\n"}], "a": false}',
+    )
+    for broken in ("", "{", None, "[" * 100_000):
+        assert one(spark, broken, "string", spaced(x)) is None
+    assert one(spark, ' "a" ', "string", tx.identity(x)) == one(spark, '"\\u0061"', "string", tx.identity(x))
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    from stepwell.sources.sinks import markdown_table
+
+    rows = spark.range(3)
+    assert markdown_table(rows, 3).endswith("| 2 |") and "Only the first 2 rows" in markdown_table(rows, 2)
