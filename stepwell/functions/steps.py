@@ -275,4 +275,4 @@ def glob_regex(pattern: str) -> str:
     """A shell glob (* ? [..]) as an anchored regular expression."""
     import fnmatch
 
-    return fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$")
+    return "^" + fnmatch.translate(pattern).replace("\\Z", "$").replace("\\z", "$")

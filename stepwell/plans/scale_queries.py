@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepwell.operators import merkle, reads
+from stepwell.operators import merkle, reads, search
 from stepwell.operators.shared import shared_path, stored
 from stepwell.plans.encoding import table
 from stepwell.sources.jsonl import checkpoint_files
@@ -174,3 +174,20 @@ def file_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept.restore(first)
     states = [kept.read(v).select(F.lit(i).alias("place"), "path", F.sha2("content", 256).alias("digest")) for i, v in enumerate(kept.history())]
     return states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])
+
+
+@query(
+    """WITH files AS (SELECT source || '/' || doc_id % 7 || '/' || doc_id || '.md' AS path FROM documents),
+entries AS (SELECT path, path AS shown FROM files UNION SELECT source, source || '/' FROM documents UNION SELECT source || '/' || doc_id % 7, source || '/' || doc_id % 7 || '/' FROM documents),
+found AS (SELECT shown FROM entries WHERE path LIKE '%1%'),
+numbered AS (SELECT row_number() OVER (ORDER BY shown) AS place, shown AS line FROM found)
+SELECT place, line FROM numbered WHERE place <= 40
+UNION ALL SELECT 41, '... (' || (count(*) - 40) || ' more matches truncated)' FROM found HAVING count(*) > 40
+UNION ALL SELECT 41, '(no matches)' FROM found HAVING count(*) = 0"""
+)
+def find_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and folders of documents whose path holds a 1: the first forty, and how many more there are."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id") % 7, F.lit("/"), F.col("doc_id"), F.lit(".md"))
+    named = search.find_entries(docs.select(path.alias("path")), "path", "*1*", "both")
+    return search.listing(named, 40)
