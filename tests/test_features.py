@@ -271,3 +271,12 @@ def test_readable_titles_of_cut_pages(spark, tmp_path, same_as_sql):
     pages = [(1, "<title>A &amp; B</title>"), (2, "<title>A &amp</title>"), (3, "<title>&quot</title>"), (4, "no title"), (5, "<title>&#39;x &nbsp;</title>")]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert same_as_sql(relational_queries.readable_titles, relational_queries.ORACLES["readable_titles"], str(tmp_path)) == 5
+
+
+def test_paper_numbers_are_not_cut(spark, tmp_path, same_as_sql):
+    from stepwell.plans import corpus_queries
+
+    url = "https://arxiv.org/abs/2101.110000v2"
+    assert one(spark, url, "string", tx.arxiv_id(F.col("x")), tx.pdf_url(F.col("x"))) == ("2101.110000", "https://arxiv.org/pdf/2101.110000.pdf")
+    spark.range(89_990, 90_010).selectExpr("id AS page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    assert same_as_sql(corpus_queries.pdf_addresses, corpus_queries.ORACLES["pdf_addresses"], str(tmp_path)) == 20
