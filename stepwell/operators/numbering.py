@@ -86,20 +86,21 @@ def quantiles(values: DataFrame, column: str, shares: list[float]) -> list[float
     return [a + (b - a) * (p - math.floor(p)) for a, b, p in zip(low, high, places)]
 
 
-def packed(rows: DataFrame, group: str, at: str, size: str, budget: int, most: int) -> DataFrame:
+def packed(rows: DataFrame, group: str, at: str, size: str, budget: int, most: int, alone: bool = False) -> DataFrame:
     """Greedy batches of consecutive rows under a size budget, as ``batch`` from 0; batches never cross a group.
 
     A batch that begins at a row ends where the sizes of the next ``most`` rows say, so every
     row has a successor.  The starts are found by doubling from the first row: a round
     joins the starts so far with jumps of twice the length, so a group with s batches takes
-    log2(s) rounds.  A row over the budget raises an error; a null size counts as none.
+    log2(s) rounds.  A row over the budget raises an error, or is a batch of its own where
+    ``alone`` says so; a null size counts as none.
     """
     order = Window.partitionBy(group).orderBy(at)
     n = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
-    fits = F.when(n <= budget, n).otherwise(F.raise_error(F.concat(F.lit("a row over the budget: "), n)))
+    fits = n if alone else F.when(n <= budget, n).otherwise(F.raise_error(F.concat(F.lit("a row over the budget: "), n)))
 
     def take(acc: Column, x: Column) -> Column:
-        more = acc["open"] & (acc["used"] + x <= budget)
+        more = acc["open"] & ((acc["used"] + x <= budget) | (acc["held"] == 0))
         return F.struct((acc["used"] + x).alias("used"), F.when(more, acc["held"] + 1).otherwise(acc["held"]).alias("held"), more.alias("open"))
 
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("held"), F.lit(True).alias("open"))

@@ -251,9 +251,9 @@ def hash_sample_excluding(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT trial_id, i, obs_chars, CAST(batch AS BIGINT) AS batch FROM packed"""
 )
 def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of 8 steps at most under a budget that often closes them earlier."""
+    """Batches of 8 steps at most under a budget that often closes them earlier; a step over it is a batch of its own."""
     rows = steps(spark, sf_dir).select("trial_id", F.col("i").cast("bigint").alias("i"), "obs_chars")
-    return numbering.packed(rows, "trial_id", "i", "obs_chars", 60_000, 8)
+    return numbering.packed(rows, "trial_id", "i", "obs_chars", 60_000, 8, alone=True)
 
 
 READ_SQL = """, reads AS (SELECT trial_id, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY trial_id ORDER BY i) AS g FROM steps

@@ -280,3 +280,19 @@ def test_paper_numbers_are_not_cut(spark, tmp_path, same_as_sql):
     assert one(spark, url, "string", tx.arxiv_id(F.col("x")), tx.pdf_url(F.col("x"))) == ("2101.110000", "https://arxiv.org/pdf/2101.110000.pdf")
     spark.range(89_990, 90_010).selectExpr("id AS page_id").write.parquet(f"{tmp_path}/pages.parquet")
     assert same_as_sql(corpus_queries.pdf_addresses, corpus_queries.ORACLES["pdf_addresses"], str(tmp_path)) == 20
+
+
+def test_a_row_over_the_budget_is_a_batch_of_its_own(spark):
+    rows = spark.createDataFrame([("g", i, n) for i, n in enumerate([11, 0, 4, 12, 6, 5, 99])] + [("h", 0, 11)], "g string, i int, n int")
+    got = {(r.g, r.i): r.batch for r in sequence.pack_batches(rows, "g", "i", "n", 10, 8, alone=True).collect()}
+    assert got == {("g", 0): 0, ("g", 1): 1, ("g", 2): 1, ("g", 3): 2, ("g", 4): 3, ("g", 5): 4, ("g", 6): 5, ("h", 0): 0}
+
+
+def test_packing_of_steps_over_the_budget(spark, tmp_path, same_as_sql):
+    from stepwell.plans import trace_queries
+
+    values = [700.0, 1.0, 599.0, 0.0, 600.01, 600.0] + [0.5] * 20 + [900.0, 900.0]
+    rows = [(i, i, 1 + i // 14, "view", v, '{"k": 1}') for i, v in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id long, t long, user_id long, event_type string, value double, props string")
+    events.selectExpr("event_id", "timestamp_seconds(t) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    assert same_as_sql(trace_queries.pack_batches, trace_queries.ORACLES["pack_batches"], str(tmp_path)) == len(values)
