@@ -1,14 +1,16 @@
-"""Approximate nearest neighbours by inner product: score-aware anisotropic quantisation.
+"""Nearest neighbours by inner product: score-aware anisotropic quantisation, pruned by bounds alone.
 
 Directions of vectors are coded in subspaces of two dimensions with 16 centres each: four
 bits a subspace, two codes a byte; the length stays beside the code.  The loss weighs the
 residual parallel to the vector more than the rest, since that is what moves large inner
-products.  Tables of query times centre are summed over the codes of a block, and the best
-of each are ranked again with the original vectors.
-
-Vectors are dealt to coarse partitions by direction, and a query goes to the partitions
-nearest to it.  How many it needs, and how many codes are ranked again, is measured on a
-sample against exact search; where pruning costs recall, all partitions are searched.  A
+products.  Tables of query times centre are summed over the codes of a block.  A vector's
+residual is kept as a length, and with it a sum bounds the inner product from above: every
+vector whose bound reaches the k-th score known so far is ranked again in double precision.
+
+Vectors are dealt to coarse partitions by direction.  Each query starts from its k-th exact
+score among the sampled vectors and goes to the partitions whose widest angle and greatest
+length leave room for more.  So centres are fitted on a sample, but no near vector is lost
+to it, however unlike the sample the rest is: even directions cost a look at all codes.  A
 vector is shuffled once for each block of queries (64 MB of them), beside its code.
 """
 
@@ -25,16 +27,16 @@ from pyspark.sql import functions as F
 
 from stepwell.llm.common import discard, materialise
 
-#: Vectors that the index is fitted and measured on, the least by hash of the id.
-SAMPLE = 8192
+#: Vectors that the index is fitted on, the least by hash of the id, and bytes of them that give first scores.
+SAMPLE, FIRST = 8192, 16 << 20
 DIMS = 2
 CENTRES = 16
-#: Rows whose codes are ranked together; the number ranked again counts for so many.
-UNIT = 8192
+#: Rows whose codes are ranked together, and the share of them from which all are ranked again at once.
+UNIT, DENSE = 8192, 0.05
 #: Bytes of queries or of vectors that meet in one task.
 MEET = 64 << 20
-#: Sampled queries that measure recall, and the shares of the nearest that must stay.
-ASKED, IN_PROBES, IN_RERANK = 256, 0.99, 0.97
+#: Room for rounding in bounds, as a share of both lengths: of sums in single and in double precision.
+ROUGH, FINE = 1e-5, 1e-12
 
 
 def weight(dim: int, threshold: float = 0.2) -> float:
@@ -135,66 +137,82 @@ def scan(queries: np.ndarray, packed: np.ndarray, norm: np.ndarray, centres: np.
     return out * norm.astype(np.float32)
 
 
+def decoded(packed: np.ndarray, centres: np.ndarray, dim: int) -> np.ndarray:
+    """The directions that codes stand for."""
+    codes = np.stack([packed // CENTRES, packed % CENTRES], axis=2).reshape(len(packed), -1)[:, : len(centres)]
+    return centres[np.arange(len(centres)), codes].reshape(len(packed), -1)[:, :dim]
+
+
 @dataclass
 class Index:
-    """What is fitted on the sample: code centres, partitions, how many to search and to rank again."""
+    """What is fitted on the sample: code centres and partitions."""
 
     centres: np.ndarray
     partitions: np.ndarray
-    probes: int
-    rerank: int
 
     def codes(self, u: np.ndarray) -> np.ndarray:
         return pack(assign(u, self.centres, weight(u.shape[1])))
 
-    def place(self, u: np.ndarray) -> np.ndarray:
-        return (u @ self.partitions.T).argmax(axis=1)
-
-    def route(self, q: np.ndarray) -> np.ndarray:
-        """Partitions to search, the nearest first."""
-        return np.argsort(-(q @ self.partitions.T), axis=1, kind="stable")[:, : self.probes]
-
-
-def fit_index(x: np.ndarray, n_partitions: int, k: int) -> Index:
-    """Fitted on the rows of ``x``; probes and rerank are the least that keep the sampled queries' neighbours."""
-    u, norm = directions(x)
-    index = Index(fit(u), partition_centres(u, min(n_partitions, len(u))), 0, 0)
-    asked = np.arange(len(x))[: min(ASKED, len(x))]
-    exact = x[asked] @ x.T
-    exact[np.arange(len(asked)), asked] = -np.inf
-    k = min(k, len(x) - 1)
-    if k < 1:
-        index.probes, index.rerank = len(index.partitions), 1
-        return index
-    true = np.argpartition(-exact, k - 1, axis=1)[:, :k]
-    order = np.argsort(-(x[asked] @ index.partitions.T), axis=1, kind="stable")
-    at = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], index.place(u)[true]]
-    kept = [(at < p).mean() for p in range(1, len(index.partitions) + 1)]
-    index.probes = next((p for p, share in enumerate(kept, 1) if share >= IN_PROBES), len(index.partitions))
-    near = scan(x[asked], index.codes(u), norm, index.centres)
-    near[np.arange(len(asked)), asked] = -np.inf
-    kth = np.take_along_axis(near, true, axis=1)
-    above = np.stack([(near > kth[:, [j]]).sum(axis=1) for j in range(k)], axis=1)
-    need = int(np.quantile(above, IN_RERANK)) + 1
-    index.rerank = max(2 * k, need + need // 4)
-    return index
-
-
-def unit_search(q_rows, q, rows, ids, x, packed, norm, index: Index, k: int) -> list[tuple]:
-    """(query row, positions, exact scores): the best k of one unit, sorted by id, for each query."""
+    def place(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nearest partition, cosine of the angle to its direction)."""
+        cos = u @ self.partitions.T
+        return cos.argmax(axis=1), cos.max(axis=1)
+
+
+def fit_index(x: np.ndarray, n_partitions: int) -> Index:
+    u, _ = directions(x)
+    return Index(fit(u), partition_centres(u, min(n_partitions, len(u))))
+
+
+def first_scores(q: np.ndarray, q_rows: np.ndarray, x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k-th score among some of its candidates: no lower one can be among its k nearest."""
+    if len(x) <= k:
+        return np.full(len(q), -np.inf)
+    scores = q @ x.T
+    scores[q_rows[:, None] == rows[None, :]] = -np.inf
+    return np.partition(scores, len(x) - k, axis=1)[:, len(x) - k]
+
+
+def may_hold(q: np.ndarray, least: np.ndarray, index: Index, longest: np.ndarray, cos: np.ndarray) -> np.ndarray:
+    """[queries, partitions]: whether a partition's greatest length and widest angle (its cosine) leave room for ``least``."""
+    u, norm = directions(q)
+    apart = np.arccos(np.clip(u @ index.partitions.T, -1, 1)) - np.arccos(np.clip(cos, -1, 1)) - 1e-6
+    with np.errstate(invalid="ignore", over="ignore"):
+        most = norm[:, None] * longest * np.maximum(np.cos(np.maximum(apart, 0)), 0)
+        most += ROUGH * norm[:, None] * longest
+    return ~(most < least[:, None])
+
+
+def unit_search(q_rows, q, least, rows, ids, x, packed, norm, err, index: Index, k: int) -> list[tuple]:
+    """(query row, positions, exact scores): the best k of one unit, sorted by id, that reach ``least``, which they raise."""
     found = []
-    top = min(len(ids), max(index.rerank, k) + 1)
+    top = min(len(ids), k)
     for a in range(0, len(q_rows), 128):
-        scores = scan(q[a : a + 128], packed, norm, index.centres)
-        kth = np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top]
-        for i, (score, least) in enumerate(zip(scores, kth)):
-            above = np.flatnonzero(score > least)
-            ties = np.flatnonzero(score == least)[: top - len(above)]  # smaller ids first
-            near = np.concatenate([above, ties])
-            near = near[rows[near] != q_rows[a + i]]
-            exact = (x[near] * q[a + i]).sum(axis=1)
-            order = np.lexsort((ids[near], -exact))[:k]
-            found.append((a + i, near[order], exact[order]))
+        asked, low = q[a : a + 128], least[a : a + 128]
+        own = q_rows[a : a + 128, None] == rows[None, :]
+        length = np.linalg.norm(asked, axis=1)[:, None]
+        with np.errstate(invalid="ignore", over="ignore"):
+            scores = scan(asked, packed, norm, index.centres)
+            most = scores + length * (err + ROUGH * norm)
+            scores = np.where(own, -np.inf, np.nan_to_num(scores, nan=-np.inf))
+            if len(ids) > k:
+                near = np.argpartition(scores, len(ids) - top, axis=1)[:, len(ids) - top :]
+                kth = np.einsum("qkd,qd->qk", x[near], asked).min(axis=1)
+                slack = FINE * length[:, 0] * norm.max()
+                low = np.fmax(low, kth - slack)
+            maybe = ~(most < low[:, None]) & ~own
+            if maybe.mean() > DENSE:
+                scores = np.where(own, -np.inf, asked @ x.T)
+                kth = np.partition(scores, len(ids) - top, axis=1)[:, len(ids) - top]
+                slack = FINE * length[:, 0] * norm.max()
+                maybe &= ~(scores < (np.fmax(low, kth) - slack)[:, None])
+            for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+                near = np.flatnonzero(maybe[i])
+                exact = (x[near] * asked[i]).sum(axis=1)
+                order = np.lexsort((ids[near], -exact))[:k]
+                found.append((a + i, near[order], exact[order]))
+                if len(order) == k:
+                    least[a + i] = max(least[a + i], exact[order[-1]])
     return found
 
 
@@ -239,37 +257,54 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
     n = table.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = table.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("vec").toArrow()
+    sample = table.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).select("row", "vec").toArrow().combine_chunks()
     x = _matrix(sample.column("vec").combine_chunks())
-    index = fit_index(x, max(1, min(n // (UNIT // 2), SAMPLE // 32)), k)
+    index = fit_index(x, max(1, min(n // (UNIT // 2), SAMPLE // 32)))
+    few = max(4 * k, FIRST // (8 * x.shape[1]))
+    firsts = spark.sparkContext.broadcast((x[:few], sample.column("row").to_numpy()[:few]))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("vec"))
             if len(x):
                 u, norm = directions(x)
-                columns = [batch.column("row"), batch.column("vec_id"), pa.array(index.place(u).astype(np.int32))]
-                columns += [pa.array(norm), _packed(index.codes(u)), _packed(x)]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "part", "norm", "codes", "vec"])
+                part, cos = index.place(u)
+                codes = index.codes(u)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    err = norm * np.linalg.norm(u - decoded(codes, index.centres, u.shape[1]), axis=1)
+                columns = [batch.column("row"), batch.column("vec_id"), pa.array(part.astype(np.int32)), pa.array(cos)]
+                columns += [pa.array(norm), pa.array(err), _packed(codes), _packed(x)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "part", "cos", "norm", "err", "codes", "vec"])
+
+    held = table.mapInArrow(indexed, "row long, vec_id long, part int, cos double, norm double, err double, codes binary, vec binary")
+    held = materialise(held, "index")
+    known = held.groupBy("part").agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.min("cos").alias("cos")).collect()  # a row a partition
+    longest, cos = np.full(len(index.partitions), -np.inf), np.ones(len(index.partitions))
+    for r in known:
+        longest[r["part"]], cos[r["part"]] = r["longest"], r["cos"]
+    filled = np.isfinite(longest) | (longest > 0)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column("vec"))
             if len(x):
-                to = index.route(x)
-                parts = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * to.shape[1], pa.array(to.ravel().astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("vec_id"), _packed(x), parts], ["row", "vec_id", "vec", "parts"])
-
-    held = materialise(table.mapInArrow(indexed, "row long, vec_id long, part int, norm double, codes binary, vec binary"), "index")
-    asked = materialise(table.filter(F.col("vec_id") % every == 0).mapInArrow(routed, "row long, vec_id long, vec binary, parts array<int>"), "queries")
+                least = first_scores(x, batch.column("row").to_numpy(), *firsts.value, k)
+                query, part = np.nonzero(may_hold(x, least, index, longest, cos) & filled)
+                offsets = np.searchsorted(query, np.arange(len(x) + 1)).astype(np.int32)
+                parts = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.astype(np.int32)))
+                columns = [batch.column("row"), batch.column("vec_id"), _packed(x), pa.array(least), parts]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "vec", "least", "parts"])
+
+    routes = table.filter(F.col("vec_id") % every == 0).mapInArrow(routed, "row long, vec_id long, vec binary, least double, parts array<int>")
+    asked = materialise(routes, "queries")
     discard(table)
     width = 8 * x.shape[1]
     slots = 2 * spark.sparkContext.defaultParallelism
     most = min(max(UNIT // 4, -(-n // slots)), max(UNIT, MEET // width))
-    blocks = {r["part"]: -(-r["count"] // most) for r in held.groupBy("part").count().collect()}  # a row a partition
+    blocks = {r["part"]: -(-r["n"] // most) for r in known}
     query_blocks = max(1, -(-asked.count() * width // MEET))
     split = F.create_map(*[F.lit(v) for pair in blocks.items() for v in pair])
-    queries = asked.select("row", "vec_id", "vec", F.explode("parts").alias("part"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("a"))
+    queries = asked.select("row", "vec_id", "vec", "least", F.explode("parts").alias("part"), F.pmod(F.xxhash64("row"), F.lit(query_blocks)).alias("a"))
     queries = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.coalesce(split[F.col("part")], F.lit(0)) - 1, F.lit(1))))
     cell = ["part", "a", "b"]
     rows = held.withColumn("b", F.pmod(F.xxhash64("row"), split[F.col("part")].cast("long")).cast("int"))
@@ -281,14 +316,16 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
             return pd.DataFrame({name.split()[0]: [] for name in out.split(", ")})
         c = c.sort_values(["vec_id", "row"])
         q_rows, q_ids, asked = q["row"].to_numpy(), q["vec_id"].to_numpy(), _read(q["vec"], np.float64)
+        least = q["least"].to_numpy().copy()
         parts = []
         for lo in range(0, len(c), UNIT):
             unit = c.iloc[lo : lo + UNIT]
             rows, ids, x = unit["row"].to_numpy(), unit["vec_id"].to_numpy(), _read(unit["vec"], np.float64)
-            for i, near, exact in unit_search(q_rows, asked, rows, ids, x, _read(unit["codes"], np.uint8), unit["norm"].to_numpy(), index, k):
+            codes, norm, err = _read(unit["codes"], np.uint8), unit["norm"].to_numpy(), unit["err"].to_numpy()
+            for i, near, exact in unit_search(q_rows, asked, least, rows, ids, x, codes, norm, err, index, k):
                 parts.append((np.full(len(near), q_rows[i]), np.full(len(near), q_ids[i]), rows[near], ids[near], exact))
         names = [name.split()[0] for name in out.split(", ")]
-        return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) for j, name in enumerate(names)})
+        return pd.DataFrame({name: np.concatenate([p[j] for p in parts]) if parts else [] for j, name in enumerate(names)})
 
     near = queries.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInPandas(meet, out)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")

@@ -224,3 +224,26 @@ def test_op10_recall_on_many_vectors(spark, kind):
     recall = np.mean([len(got[q] & set(t)) / 20 for q, t in zip(asked.tolist(), true.tolist())])
     print(kind, "recall", round(float(recall), 4))
     assert recall >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["tight", "rare"])
+def test_op10_rows_unlike_the_sample(spark, kind):
+    """Tight groups, and a few long vectors that a sample hardly holds."""
+    from stepwell.llm import ann
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 32)).astype(np.float32)
+    if kind == "tight":
+        x = (0.01 * x + 3 * rng.normal(size=(10, 32))[rng.integers(0, 10, len(x))]).astype(np.float32)
+    else:
+        x[rng.choice(len(x), 50, replace=False)] *= 30
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(np.float64)
+    asked = np.arange(0, len(y), 20)
+    scores = y[asked] @ y.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-scores, 19, axis=1)[:, :20]
+    assert all(got[q] == set(t) for q, t in zip(asked.tolist(), true.tolist()))
