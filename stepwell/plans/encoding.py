@@ -12,9 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Events of a task, on the average.  Each detector of signals reads its trials' steps once more.
+TASK_EVENTS = 200_000
+
+
+def by_trial(events: DataFrame, most: int = TASK_EVENTS) -> DataFrame:
+    """Events dealt by user, to more tasks where the session's number would give each more than ``most``."""
+    parts = -(-events.count() // most)
+    if parts <= int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return events
+    return events.repartition(parts, "user_id")
+
+
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """trial_id, i, n, k, op_state, op_type, family, obs_chars, deps."""
-    events = table(spark, sf_dir, "events")
+    events = by_trial(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value", "props"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     kind = F.lit("explore")
     for event, op in KIND.items():
