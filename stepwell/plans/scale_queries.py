@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepwell.operators import merkle, reads, search
-from stepwell.operators.shared import shared_path, stored
+from stepwell.operators.shared import shared_path
 from stepwell.plans.encoding import table
 from stepwell.sources.jsonl import checkpoint_files
 from stepwell.sources.versions import Versions
@@ -152,7 +152,7 @@ def glob_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = rows.withColumns(
         {"spec": spec, "head": F.when(k % 3 == 0, (k % 5).cast("int")), "lines": F.when(k % 3 == 1, "2-4"), "number": k % 2 == 1}
     )
-    return reads.answers(stored(reads.blocks(entries, files), "blocks"))
+    return reads.read_answers(entries, files)
 
 
 @query(
