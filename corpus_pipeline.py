@@ -35,6 +35,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at Jaccard 0.8 of five-word shingles: the least doc_id.
 
+    SimHash fingerprints give the first pairs, a join the links that are out of their reach.
     Rows without an id go if they are linked to one with an id, else they stay.
     """
     return simhash.keep_one(docs, near_copies.near_copies)

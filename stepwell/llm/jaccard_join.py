@@ -30,7 +30,7 @@ components is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,19 +178,19 @@ def _unique(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pairs(num: int, den: int):
-    """Rows sorted by region -> candidate pairs (a, b); regions are small."""
+    """Rows sorted by region -> candidate pairs (a, b) of different roots; regions are small."""
     r = 1 - num / den
 
     def room(n, at, m, to):
         return (num + den) * np.minimum(n - at, m - to) >= num * (n + m)
 
-    def pairs(k, sid, n, pos, d, home, sketch):
+    def pairs(k, sid, n, pos, d, home, root, sketch):
         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         a, b = [], []
         for lo, hi in zip(first.tolist(), np.append(first[1:], len(k)).tolist()):
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, hi)
-                j = j[(home[j] | home[i]) & (np.abs(d[j] - d[i]) <= r + SLACK) & room(n[i], pos[i], n[j], pos[j])]
+                j = j[(home[j] | home[i]) & (root[j] != root[i]) & (np.abs(d[j] - d[i]) <= r + SLACK) & room(n[i], pos[i], n[j], pos[j])]
                 if len(j):
                     j = j[_room(sketch[i], [sketch[x] for x in j.tolist()], n[i] + n[j], num, den)]
                     a.append(sid[j])
@@ -200,7 +200,7 @@ def _pairs(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "sid", "n", "pos", "d", "home", "sketch")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "sid", "n", "pos", "d", "home", "root", "sketch")]
             now[2:4] = [x.astype(np.int64) for x in now[2:4]]
             now = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             if len(now[0]) == 0:
@@ -388,11 +388,15 @@ def _pivots(one: DataFrame, reps: DataFrame, width: int):
     return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy(np.int64)[taken], sets))
 
 
-def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD) -> tuple[DataFrame, DataFrame, DataFrame]:
+def links(
+    docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCARD, ahead: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """known (doc_id, uid, sid, n, sketch), reps (sid, least, uid, n, sketch) and links (a, b) between sets.
 
     docs as `documents` gives them.  The links join up all pairs of sets with a similarity of
-    ``jaccard`` or more; each of them is such a pair.
+    ``jaccard`` or more; each of them is such a pair.  ``ahead(docs, reps)`` gives candidate
+    pairs (a, b) that another method has found: they are compared first, and regions are
+    only searched for links between the components that they make.
     """
     num, den = jaccard
     spark = docs.sparkSession
@@ -402,6 +406,26 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     reps = materialise(reps, "reps")
     # copies are left out where that costs no shuffle of texts; they make the same rows again
     one = docs.join(F.broadcast(reps.select("uid")), "uid", "left_semi") if reps.count() <= MAX_KEYS else docs
+
+    def whole(pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+        need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
+        need = (need if more is None else need.union(more.select("sid"))).distinct()
+        uids = checked_broadcast(materialise(reps.join(need, "sid").select("uid"), "uids"))
+        sets = shingles.mapped(one.join(uids, "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
+        return materialise(sets.dropDuplicates(["sid"]), "sets")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("part"), F.lit(False).alias("lead"), F.col("b").alias("sid"))
+        leads = pairs.select(F.col("a").alias("part"), F.lit(True).alias("lead"), F.col("a").alias("sid")).distinct()
+        return _links(asked.union(leads), sets, num, den)
+
+    first = None
+    if ahead is not None:
+        asked = materialise(ahead(one, reps), "ahead")
+        sets = whole(asked)
+        first = confirmed(asked, sets)
+        discard(sets)
+        known_roots = materialise(connected_components(first, "a", "b"), "roots")
     pivots = _pivots(one, reps, width)
     seen = shingles.mapped(one, shingles.sampled(width), "token long").groupBy("token").count()
     top = seen.filter(F.col("count") >= shingles.COMMON).orderBy(F.desc("count"), "token").limit(shingles.MAX_COMMON).toPandas()
@@ -409,52 +433,54 @@ def links(docs: DataFrame, width: int = WIDTH, jaccard: tuple[int, int] = JACCAR
     common = spark.sparkContext.broadcast((top["token"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)))
     schema = "region long, sid long, n int, pos int, d double, home boolean"
     placed = materialise(shingles.mapped(one, _regions(width, pivots, common, num, den), schema), "placed")
-    several = placed.groupBy("region").agg(F.min("sid").alias("x"), F.max("sid").alias("y"), F.max("home").alias("any"))
+    rooted = placed.withColumn("root", F.col("sid")) if first is None else materialise(_rooted(placed, known_roots), "rooted")
+    several = rooted.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("home").alias("any"))
     several = materialise(several.filter("x < y AND any").select("region"), "several")
-    rows = materialise(placed.join(several, "region").distinct(), "rows")
+    rows = materialise(rooted.join(several, "region").distinct(), "rows")
     discard(placed)
+    if first is not None:
+        discard(rooted)
     counts = materialise(rows.groupBy("region").agg(F.count("*").alias("c")), "counts")
     rows = rows.join(counts, "region")
     names = F.broadcast(spark.createDataFrame([(int(x), LARGE) for x in pivots.value[1]], "region long, most int"))  # PIVOTS rows at most
     rows = materialise(rows.join(names, "region", "left").withColumn("by_pivot", F.col("most").isNotNull()), "counted")
     fits = F.col("c") <= F.coalesce("most", F.lit(CELL))
     small, large = rows.filter(fits), rows.filter(~fits)
-    by_pairs = small.join(reps.select("sid", "sketch"), "sid").select("region", "sid", "n", "pos", "d", "home", "sketch")
+    by_pairs = small.join(reps.select("sid", "sketch"), "sid").select("region", "sid", "n", "pos", "d", "home", "root", "sketch")
     by_pairs = by_pairs.repartition("region").sortWithinPartitions("region")
     pairs = materialise(by_pairs.mapInArrow(_pairs(num, den), "a long, b long").distinct(), "pairs")
-    need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(large.select("sid")).distinct()
-    uids = checked_broadcast(materialise(reps.join(need, "sid").select("uid"), "uids"))
-    sets = shingles.mapped(one.join(uids, "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
-    sets = materialise(sets.dropDuplicates(["sid"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("part"), F.lit(False).alias("lead"), F.col("b").alias("sid"))
-        leads = pairs.select(F.col("a").alias("part"), F.lit(True).alias("lead"), F.col("a").alias("sid")).distinct()
-        return _links(asked.union(leads), sets, num, den)
-
-    found = confirmed(pairs)
+    large = large.drop("root")
+    sets = whole(pairs, large)
+    found = confirmed(pairs, sets)
+    if first is not None:
+        found = found.union(first)
     if large.take(1):
         diffs, ball = _around_pivots(large.filter("by_pivot"), sets, pivots, num, den)
         found = materialise(found.union(ball).union(_sub_pivots(large, sets, num, den)).distinct(), "found")
         roots = materialise(connected_components(found, "a", "b"), "roots")
-        found = found.union(confirmed(_posted_pairs(_rooted(diffs, roots), num, den)))
+        found = found.union(confirmed(_posted_pairs(_rooted(diffs, roots), num, den), sets))
         of_shingles = materialise(_rooted(large.filter("NOT by_pivot"), roots), "rooted")
         found = found.union(_blocks(of_shingles, sets, num, den))
     return known, reps, found
 
 
 def join_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, jaccard: tuple[int, int] = JACCARD
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = WIDTH,
+    jaccard: tuple[int, int] = JACCARD,
+    ahead: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """doc_id, uid, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
     Words are runs of non-white-space with A-Z lower-cased; a text of fewer than ``width``
     words is one shingle; null and wordless texts have no shingle and no link, to each other
-    neither.  Sets are compared by 64-bit hashes of their shingles.  Repeated rows give
+    neither.  Sets are compared by 64-bit hashes of their shingles.  ``ahead`` as in `links`.  Repeated rows give
     repeated rows.  A null doc_id is never the least unless no other is reachable.  Extra
     columns are ignored; the table may be empty.
     """
-    known, reps, found = links(documents(docs, id_col, text_col), width, jaccard)
+    known, reps, found = links(documents(docs, id_col, text_col), width, jaccard, ahead)
     roots = connected_components(found, "a", "b")
     named = reps.join(roots, reps["sid"] == roots["node"], "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
     tops = named.groupBy("root").agg(F.min("least").alias("top"))

@@ -184,6 +184,21 @@ def links(fps: DataFrame, radius: int = 4, most: int = 1024) -> DataFrame:
         level += 1
 
 
+def candidates(docs: DataFrame, reps: DataFrame, width: int, radius: int) -> DataFrame:
+    """(a, b): sids of ``reps`` (sid, uid) whose fingerprints join up within the radius.
+
+    A set is paired with the least of its own fingerprint, and these as `links` pairs their
+    fingerprints; docs as `documents` gives them.
+    """
+    marked = materialise(fingerprints(docs, width).select("uid", "fp").join(reps.select("uid", "sid"), "uid").select("sid", "fp").distinct(), "fingerprints")
+    firsts = materialise(marked.groupBy("fp").agg(F.min("sid").alias("first")), "firsts")
+    same = marked.join(firsts, "fp").filter("sid <> first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    near = links(firsts.select("fp"), radius).distinct()
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_sid"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"))
+    return same.union(near.filter("a <> b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42
 ) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 import brute
 import corpus_pipeline
-from stepwell.llm import near_copies
+from stepwell.llm import common, jaccard_join, near_copies, simhash
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -72,3 +72,24 @@ def test_near_copy_stage(spark, kind):
     if kind != "tables":
         kept = [r.doc_id for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()]
         assert sorted(kept) == sorted(set(want.values()))
+
+
+def test_near_copy_stage_goes_by_fingerprints(spark, monkeypatch):
+    """Pairs that SimHash gives are compared; the join looks only between the components they make."""
+    rows = edited()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    given, asked = [], []
+    find = simhash.candidates
+
+    def candidates(*args):
+        given.extend(find(*args).collect())
+        return docs.sparkSession.createDataFrame(given, "a long, b long")
+
+    monkeypatch.setattr(simhash, "candidates", candidates)
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, label: asked.append((label, out := common.materialise(df, label))) or out)
+    corpus_pipeline.dedup_documents(spark, docs, "").collect()
+    firsts = next(df for label, df in asked if label == "links").collect()
+    assert given and firsts and {tuple(sorted(r)) for r in firsts} <= {tuple(sorted(r)) for r in given}
+    roots = {r.node: r.root for r in next(df for label, df in asked if label == "roots").collect()}
+    pairs = next(df for label, df in asked if label == "pairs").collect()
+    assert pairs and all(roots.get(r.a, r.a) != roots.get(r.b, r.b) for r in pairs)
