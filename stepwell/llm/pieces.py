@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 from stepwell.llm import textbuf
 
@@ -53,8 +54,8 @@ def dropped(buf: np.ndarray, row_start: np.ndarray, fold: bool) -> tuple[list[by
     return wide.tobytes().split(), first
 
 
-def leading(buf: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) -> tuple[list[bytes], np.ndarray] | None:
-    """As `dropped`; None if the rows hold the byte used as a mark (0x00)."""
+def leading(buf: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) -> tuple[pa.Array, np.ndarray] | None:
+    """Pieces as an Arrow array, no Python object each, and the first piece of each row; None if the rows hold 0x00."""
     if (buf == 0).any():
         return None
     buf = buf.copy()
@@ -70,11 +71,13 @@ def leading(buf: np.ndarray, row_start: np.ndarray, row_end: np.ndarray) -> tupl
     gap[:-1] |= one  # gap i lies before byte i + 1
     gap[1:] |= one & (buf[1:-1] == 10)  # a newline stands alone, only a space leads a piece
     cut = np.flatnonzero(gap) + 1
-    wide = np.insert(buf, cut, 0)
-    pieces = wide.tobytes().split(b"\0")[:-1]
-    marks = np.flatnonzero(wide == 0)
-    first = np.searchsorted(marks, row_start + np.searchsorted(cut, row_start))
-    return pieces, first
+    rows = np.arange(len(row_end))
+    # offsets into the bytes without those newlines
+    ends = np.sort(np.concatenate([cut - np.searchsorted(row_end, cut), row_end - rows]), kind="stable")
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    data = np.delete(buf, row_end)
+    pieces = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pieces, np.searchsorted(cut, row_start) + rows
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -160,15 +163,15 @@ class Vocabulary:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def look_up(self, pieces: list[bytes], make) -> dict:
-        """Results of ``make`` (list of pieces -> list of results) for all the pieces.
+    def look_up(self, pieces: list[bytes], make, once: bool = False) -> dict:
+        """Results of ``make`` (list of pieces -> list of results) for all the pieces; ``once``: no piece is repeated.
 
         What was not used since the memory last filled up is forgotten when it fills up again;
         pieces of more than LONG bytes are forgotten at the next call.
         """
         for p in self.long:
             self.known.pop(p, None)
-        distinct = set(pieces)
+        distinct = pieces if once else set(pieces)
         known, old = self.known, self.old
         if len(known) + len(distinct) > self.keep // 2:
             known, old = {}, known

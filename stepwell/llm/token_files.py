@@ -190,13 +190,18 @@ def _encode(vocab: pieces.Vocabulary, text: pa.Array, lo: int, hi: int, end: int
         rows = [pack(x) + tail for x in vocab.encode([t or "" for t in text.slice(lo, hi - lo).to_pylist()])]
         return b"".join(rows), np.array([len(x) // 2 for x in rows])
     parts, first = cut
-    known = vocab.look_up(parts, vocab.piece_ids)
-    got = list(map(known.__getitem__, parts))
-    n = np.concatenate([[0], np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))]) // 2
-    edge = np.append(first, len(got))
-    out = b"".join(got)
+    coded = parts.dictionary_encode()
+    distinct, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    known = vocab.look_up(distinct, vocab.piece_ids, once=True)
+    got = list(map(known.__getitem__, distinct))
+    size = np.fromiter(map(len, got), np.int64, len(got)) // 2
+    begin = np.cumsum(size) - size
+    each = size[code]
+    n = np.concatenate([[0], np.cumsum(each)])
+    edge = np.append(first, len(code))
+    at = np.repeat(begin[code] - n[:-1], each) + np.arange(n[-1])
     # each row's end id goes behind its last piece
-    ids = np.insert(np.frombuffer(out, np.uint16), n[edge[1:]], end)
+    ids = np.insert(np.frombuffer(b"".join(got), np.uint16)[at], n[edge[1:]], end)
     return ids.tobytes(), n[edge[1:]] - n[edge[:-1]] + 1
 
 
@@ -237,7 +242,7 @@ def write_tokens(
         )
         for batch in batches:
             text = batch.column("text")
-            for lo, hi in textbuf.slices(text, SHARD):
+            for lo, hi in textbuf.slices(text, 2 * SHARD):
                 data, n = _encode(vocab, text, lo, hi, end, split)
                 held.append(data)
                 sizes.append(n)

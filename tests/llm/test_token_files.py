@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from stepwell.llm import token_files
+from stepwell.llm import pieces, token_files
 from stepwell.llm.common import shared_dir
 from stepwell.llm.queries import tokenizer_file
 
@@ -66,3 +67,15 @@ def test_files_give_any_range_of_a_document(spark):
             assert all(shard.tokens(k, a, b).tolist() == whole[a:b] for a, b in ((0, 1), (n // 2, n), (n // 3, n // 2)))
             got.append((doc or 0, whole))
     assert sorted(got) == want
+
+
+def test_pieces_are_looked_up_once(monkeypatch):
+    """Whole texts are encoded as the library does, while no piece of a slice is looked up twice."""
+    vocab = pieces.Vocabulary(tokenizer_file("byte_bpe_50k.json"))
+    texts = ["the cat, the cat\nthe  cat", "", None, "été the été the", "\n\n x\n", "the cat"]
+    asked, find = [], vocab.look_up
+    monkeypatch.setattr(vocab, "look_up", lambda parts, make, **options: asked.extend(parts) or find(parts, make, **options))
+    data, n = token_files._encode(vocab, pa.array(texts, pa.string()), 0, len(texts), 0, True)
+    want = [x + [0] for x in vocab.encode([t or "" for t in texts])]
+    assert np.frombuffer(data, np.uint16).tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    assert len(asked) == len(set(asked))
