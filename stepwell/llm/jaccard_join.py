@@ -458,7 +458,9 @@ def links(
         diffs, ball = _around_pivots(large.filter("by_pivot"), sets, pivots, num, den)
         found = materialise(found.union(ball).union(_sub_pivots(large, sets, num, den)).distinct(), "found")
         roots = materialise(connected_components(found, "a", "b"), "roots")
-        found = found.union(confirmed(_posted_pairs(_rooted(diffs, roots), num, den), sets))
+        rooted = materialise(_rooted(diffs, roots), "rooted")
+        several = rooted.groupBy("region").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("region")
+        found = found.union(confirmed(_posted_pairs(rooted.join(F.broadcast(several), "region"), num, den), sets))
         of_shingles = materialise(_rooted(large.filter("NOT by_pivot"), roots), "rooted")
         found = found.union(_blocks(of_shingles, sets, num, den))
     return known, reps, found

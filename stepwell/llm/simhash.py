@@ -23,7 +23,7 @@ from stepwell.llm.components import connected_components
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_WORDS = 1 << 18
+_WORDS = 1 << 16
 
 
 def _signs(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,6 +7,7 @@ other than ``\\x20 \\x09-\\x0D`` (UTF-8 never holds those inside a character).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _POWERS: list[np.ndarray] = []
+_LIBC = ctypes.CDLL(None)
 
 
 def slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
@@ -29,6 +31,15 @@ def slices(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are reused, and what each has ever taken would add up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_LIBC, "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
