@@ -1,9 +1,13 @@
 """Exact Jaccard self-join of shingle sets in their metric space.
 
-1 - Jaccard is a metric.  Sampled sets that lie apart are pivots; a set within ``INSIDE`` of
-its nearest pivot lives in that pivot's Voronoi region.  With r the radius of the join, a set
-y can only be linked to a member of region p if d(y, p) <= min(INSIDE + r, d(y, nearest) + 2r)
-(triangle inequality), so boundary sets are replicated to just those regions.
+1 - Jaccard is a metric.  Some sampled sets are pivots, each with a radius R; a set within R
+of pivots lives in the Voronoi region of the nearest of these.  With r the radius of the join, a
+set y can only be linked to a member of region p if d(y, p) <= R(p) + r and, where y lies R(q) - r
+or less from a pivot q, if d(y, p) <= d(y, q) + 2r (triangle inequality), so boundary sets are
+replicated to just those regions.  In a group of near copies all may lie at the boundary of all
+pivots drawn from it.  So pivots are taken by what they gain, and a set is only one if at most
+``CROWD`` times as many sampled sets lie within R + r of it as find their region with it: the
+copies made do not grow with the number of pivots that a group has in the sample.
 
 Most sets of a corpus are at a distance of nearly 1 from all others, where no window prunes.
 Their pivots are single shingles: a set's distance to {s} is under 1 only if it holds s, its
@@ -20,10 +24,10 @@ components are taken; only pairs between components are looked for from there on
 pivot p a set x is known by its difference D(x) from p: x and y differ by as much as D(x) and
 D(y) do.  Sets within r of p are linked to it.  Of any other pair that is linked, the
 differences share an element, and in an order from rare to common the first one shared stands
-at places i and j with i + j <= t, the most by which linked sets of their sizes differ.  So
-each set is posted under its first t + 1 elements, and only postings up to t / 2 ask the
-others.  Pairs of which neither needs a shared element lie next to the ball, and are asked
-for there.  A large region of a shingle has no pivot near all its sets: those outside its
+at places i and j with i + j <= t, the most by which linked sets of their sizes differ (less
+by as much as what follows differs in number).  So each set is posted under its first t + 1 elements, and only postings up to t / 2, or those
+outside the main component of their element if they are fewer, ask the others.  Pairs of which
+neither needs a shared element lie next to the ball, and are asked for there.  A large region of a shingle has no pivot near all its sets: those outside its
 main component are compared, in blocks, with the region.  No link between different
 components is lost.
 """
@@ -44,8 +48,8 @@ from stepwell.llm.components import connected_components
 WIDTH = 3
 #: Similarity as a fraction.
 JACCARD = (9, 10)
-#: Sets drawn as pivots and their largest size; distance at which pivots lie apart, and radius of a region.
-PIVOTS, PIVOT_SIZE, APART, INSIDE = 1024, 4096, 0.35, 0.35
+#: Sets drawn as pivots and their largest size; largest radius of a region, and sets that it may touch for each that it gains.
+PIVOTS, PIVOT_SIZE, INSIDE, CROWD = 1024, 4096, 0.35, 3
 #: Rows of a region of a pivot, and of a shingle, that is joined by pairs; sub-pivots of larger ones.
 LARGE, CELL, SUB_PIVOTS = 64, 256, 16
 #: Sets of a region that meet a block, and sets (and shingles) of a block.
@@ -85,24 +89,33 @@ class Table:
         return key // len(self.sizes), key % len(self.sizes), shared
 
 
-def separated(sets: list[np.ndarray], apart: float = APART) -> list[int]:
-    """Places of sets that lie further than ``apart`` from all taken before."""
-    table = Table(sets)
-    near: dict[int, list[int]] = {}
+def chosen(sets: list[np.ndarray], r: float) -> tuple[list[int], np.ndarray]:
+    """Places of the sets that become pivots, and their radii."""
+    table, d = Table(sets), np.ones((len(sets), len(sets)))
     for lo in range(0, len(sets), 64):
         part = sets[lo : lo + 64]
         row = np.repeat(np.arange(lo, lo + len(part)), [len(s) for s in part])
         a, b, k = table.shared(row, np.concatenate(part))
-        close = 1 - k / (table.sizes[a] + table.sizes[b] - k) <= apart
-        for x, y in zip(a[close].tolist(), b[close].tolist()):
-            near.setdefault(x, []).append(y)
-    taken: list[int] = []
-    held = set()
-    for x in range(len(sets)):
-        if held.isdisjoint(near[x]):
+        d[a, b] = 1 - k / (table.sizes[a] + table.sizes[b] - k)
+    taken, radii = [], []
+    homeless = np.ones(len(sets), bool)
+    radius = INSIDE
+    while radius > 0:
+        inside, touched = d <= radius, (d <= radius + r).sum(axis=1)
+        gain = (inside & homeless).sum(axis=1)
+        while True:
+            # a smaller region is for several sets: one alone is no crowd
+            good = (gain >= (1 if radius == INSIDE else 2)) & (touched <= CROWD * gain)
+            if not good.any():
+                break
+            x = int(np.argmax(np.where(good, gain, 0)))
             taken.append(x)
-            held.add(x)
-    return taken
+            radii.append(radius)
+            new = inside[x] & homeless
+            gain -= inside[:, new].sum(axis=1)
+            homeless &= ~new
+        radius -= r
+    return taken, np.array(radii)
 
 
 def _marks(width: int):
@@ -135,34 +148,41 @@ def _room(a: bytes, others: list[bytes], n: np.ndarray, num: int, den: int) -> n
     return keep
 
 
+def _seen(h: np.ndarray, common) -> np.ndarray:
+    """How often shingles are seen in the sample; 0 if rare."""
+    tokens, counts = common.value
+    if len(tokens) == 0 or len(h) == 0:
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
+    return np.where(tokens[at] == h, counts[at], 0)
+
+
 def _regions(width: int, pivots, common, num: int, den: int):
     """Rows (region, sid, n, pos, d, home): Voronoi regions with windows, shingle regions outside."""
     r = 1 - num / den
 
     def make(batch: pa.RecordBatch, lo: int, hi: int):
         row, h, size, sid = shingles.shingle_sets(batch.column("text"), lo, hi, width)
-        table, names, _ = pivots.value
+        table, names, _, radii = pivots.value
         out = []
-        nearest = np.ones(hi - lo)
+        housed = np.zeros(hi - lo, bool)
         if len(names):
             a, p, k = table.shared(row, h)
             d = 1 - k / (size[a] + table.sizes[p] - k)
-            np.minimum.at(nearest, a, d)
-            order = np.lexsort((p, d, a))
-            a, p, d = a[order], p[order], d[order]
-            first = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
-            home = first & (d <= INSIDE)
-            keep = home | (d <= np.minimum(INSIDE + r, nearest[a] + 2 * r) + SLACK)
+            inside = d <= radii[p]
+            order = np.lexsort((p, d, ~inside, a))
+            a, p, d, inside = a[order], p[order], d[order], inside[order]
+            home = inside & np.r_[True, a[1:] != a[:-1]][: len(a)]
+            housed[a[home]] = True
+            deep = d + r + SLACK <= radii[p]  # all that is linked to such a set is within the radius too
+            nearest = np.ones(hi - lo)
+            np.minimum.at(nearest, a[deep], d[deep])
+            keep = home | (d <= np.minimum(radii[p] + r, nearest[a] + 2 * r) + SLACK)
             a, p, d, home = a[keep], p[keep], d[keep], home[keep]
             out.append((names[p], a, np.zeros(len(a), np.int64), d, home))
-        tokens, counts = common.value
-        seen = np.zeros(len(h), np.int64)
-        if len(tokens) and len(h):
-            at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-            seen = np.where(tokens[at] == h, counts[at], 0)
-        order = np.lexsort((h, seen, row))
+        order = np.lexsort((h, _seen(h, common), row))
         pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        keep = (pos < (size - -(-num * size // den) + 1)[row]) & (nearest[row] > INSIDE)
+        keep = (pos < (size - -(-num * size // den) + 1)[row]) & ~housed[row]
         a = row[keep]
         out.append((h[order][keep].view(np.int64), a, pos[keep], np.zeros(len(a)), np.ones(len(a), bool)))
         region, a, pos, d, home = (np.concatenate(x) for x in zip(*out))
@@ -216,14 +236,14 @@ def _pairs(num: int, den: int):
 
 
 def _lead_pairs(num: int, den: int):
-    """Rows (part, lead, sid, root, n, nd, pos) sorted by part, leads first -> pairs of a lead and another row."""
-    names = ("sid", "root", "n", "nd", "pos")
+    """Rows (part, lead, sid, root, n, nd, pos, home) sorted by part, leads first -> pairs of a lead and another row."""
+    names = ("sid", "root", "n", "nd", "pos", "home")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, leads = None, None
         for batch in batches:
             parts, lead = batch.column("part").to_numpy(), batch.column("lead").to_numpy(zero_copy_only=False)
-            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
             cuts = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (lead[1:] != lead[:-1])]) if len(parts) else []
             a, b = [], []
             for lo, hi in zip(cuts, np.append(cuts[1:], len(parts))):
@@ -232,11 +252,13 @@ def _lead_pairs(num: int, den: int):
                 if lead[lo]:
                     leads = np.concatenate([leads, rows[:, lo:hi]], axis=1)
                     continue
-                sid, root, n, nd, pos = rows[:, lo:hi]
+                sid, root, n, nd, pos, home = rows[:, lo:hi]
                 for x in range(0, leads.shape[1], 1024):
-                    lsid, lroot, ln, lnd, lpos = (c[:, None] for c in leads[:, x : x + 1024])
+                    lsid, lroot, ln, lnd, lpos, lhome = (c[:, None] for c in leads[:, x : x + 1024])
                     most = (den - num) * (n + ln)
-                    good = (lroot != root) & (lsid != sid) & ((den + num) * (pos + lpos) <= most) & ((den + num) * np.abs(nd - lnd) <= most)
+                    good = (lroot != root) & (lsid != sid) & (lhome + home > 0)
+                    # neither what comes before the shared element nor the surplus of what follows is shared
+                    good &= (den + num) * (pos + lpos + np.abs((nd - pos) - (lnd - lpos))) <= most
                     good &= num * np.maximum(n, ln) <= den * np.minimum(n, ln)
                     i, j = np.nonzero(good)
                     a.append(lsid[i, 0])
@@ -317,75 +339,99 @@ def _blocks(large: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return _links(both, sets, num, den)
 
 
-def _differences(pivots, num: int, den: int):
-    """(region, sid, n, h) -> (region, sid, n, np, diff): what a set and the region's pivot don't share."""
+def _differences(pivots, common, num: int, den: int):
+    """(region, sid, n, home, c, h) -> (region, sid, n, home, np, nd, posted).
+
+    np and nd are the sizes of the region's pivot and of what a set doesn't share with it;
+    posted are the elements of that which a linked set may be known by, from rare to common.
+    A shingle of the pivot is an element of the sets of the region, c in all, that lack it.
+    """
+
+    def differ(rows: pa.RecordBatch, own: dict[int, np.ndarray]) -> pa.RecordBatch:
+        sizes, found, lacked = [], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for region, h in zip(rows.column("region").to_pylist(), rows.column("h")):
+            pivot = own[region]
+            found.append(np.setxor1d(h.values.to_numpy().view(np.uint64), pivot, assume_unique=True))
+            lacked.append(np.isin(found[-1], pivot, assume_unique=True))
+            sizes.append((len(pivot), len(found[-1])))
+        of_pivot, size = np.array(sizes, np.int64).reshape(-1, 2).T
+        diff, row = np.concatenate(found), np.repeat(np.arange(len(size)), size)
+        seen = _seen(diff, common)
+        without = np.maximum(rows.column("c").to_numpy()[row] // shingles.SAMPLE - seen, 0)
+        diff = diff[np.lexsort((diff, np.where(np.concatenate(lacked), without, seen), row))]
+        most = rows.column("n").to_numpy().astype(np.int64) * (den - num) // num
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        offsets = pa.array(np.append(0, np.cumsum(np.minimum(size, most + 1))).astype(np.int32))
+        posted = pa.ListArray.from_arrays(offsets, shingles.as_long(diff[pos <= most[row]]))
+        names = ["region", "sid", "n", "home"]
+        return pa.RecordBatch.from_arrays([*map(rows.column, names), pa.array(of_pivot), pa.array(size), posted], [*names, "np", "nd", "posted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = {int(name): np.sort(s) for name, s in zip(pivots.value[1].tolist(), pivots.value[2])}
         for batch in batches:
-            sizes, found = [], [np.zeros(0, np.uint64)]
-            for region, h in zip(batch.column("region").to_pylist(), batch.column("h")):
-                pivot = own[region]
-                found.append(np.setxor1d(h.values.to_numpy().view(np.uint64), pivot, assume_unique=True))
-                sizes.append((len(pivot), len(found[-1])))
-            sizes = np.array(sizes, np.int64).reshape(-1, 2)
-            offsets = pa.array(np.append(0, np.cumsum(sizes[:, 1])).astype(np.int32))
-            diff = pa.ListArray.from_arrays(offsets, shingles.as_long(np.concatenate(found)))
-            columns = [batch.column(c) for c in ("region", "sid", "n")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes[:, 0]), diff], ["region", "sid", "n", "np", "diff"])
+            starts, lo = batch.column("h").offsets.to_numpy(), 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + BLOCK_SHINGLES, side="right")) - 1)
+                yield differ(batch.slice(lo, hi - lo), own)
+                lo = hi
 
     return run
 
 
 def _parted(rows: DataFrame, key: list[str], early) -> DataFrame:
-    """Rows (*key, sid, root, n, nd, pos) as parts for `_lead_pairs`: leads go to every chunk of their key."""
+    """Rows (*key, sid, root, n, nd, pos, home) as parts for `_lead_pairs`: leads go to every chunk of their key.
+
+    Leads are the early rows, or those outside the key's main component if they are fewer.
+    """
     marked = rows.withColumn("early", early)
-    sizes = marked.groupBy(*key).agg(F.count("*").alias("c"), F.max("early").alias("any")).filter("c > 1 AND any")
-    chunks = F.ceil(F.col("c") / CHUNK).cast("int")
-    marked = marked.join(materialise(sizes.select(*key, chunks.alias("chunks")), "cells"), key)
+    roots = marked.groupBy(*key, "root").agg(F.count("*").alias("m"), F.sum(F.col("early").cast("int")).alias("e"))
+    sizes = roots.groupBy(*key).agg(F.sum("m").alias("c"), F.sum("e").alias("e"), F.max("m").alias("top"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    few = F.col("c") - F.col("top")  # a key of one component has none
+    chunks = F.ceil(F.col("c") / CHUNK).cast("int").alias("chunks")
+    sizes = sizes.filter((few > 0) & (F.col("e") > 0)).select(*key, chunks, "main", (few < F.col("e")).alias("by_root"))
+    marked = marked.join(materialise(sizes, "cells"), key)
     part = F.xxhash64(*key, "chunk").alias("part")
-    columns = ["sid", "root", "n", "nd", "pos"]
+    columns = ["sid", "root", "n", "nd", "pos", "home"]
     others = marked.withColumn("chunk", F.pmod(F.xxhash64("sid"), "chunks").cast("int")).select(part, F.lit(False).alias("lead"), *columns)
-    leads = marked.filter("early").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asks = F.when(F.col("by_root"), F.col("root") != F.col("main")).otherwise(F.col("early"))
+    leads = marked.filter(asks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return others.union(leads.select(part, F.lit(True).alias("lead"), *columns))
 
 
-def _around_pivots(large: DataFrame, sets: DataFrame, pivots, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of large regions of pivots -> their differences (region, sid, n, np, diff, nd, ball), and links with the pivots."""
-    whole = large.select("region", "sid", "n").join(sets, "sid").select("region", "sid", "n", "h")
-    diffs = whole.mapInArrow(_differences(pivots, num, den), "region long, sid long, n int, np long, diff array<long>")
-    inside = (den + num) * F.size("diff") <= (den - num) * (F.col("n") + F.col("np"))
-    diffs = materialise(diffs.withColumn("nd", F.size("diff")).withColumn("ball", inside), "diffs")
+def _around_pivots(large: DataFrame, sets: DataFrame, pivots, common, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of large regions of pivots -> their differences, with whether they lie in the pivot's ball, and links with the pivots."""
+    whole = large.select("region", "sid", "n", "home", "c").join(sets, "sid").select("region", "sid", "n", "home", "c", "h")
+    schema = "region long, sid long, n int, home boolean, np long, nd long, posted array<long>"
+    diffs = whole.mapInArrow(_differences(pivots, common, num, den), schema)
+    inside = (den + num) * F.col("nd") <= (den - num) * (F.col("n") + F.col("np"))
+    diffs = materialise(diffs.withColumn("ball", inside), "diffs")
     return diffs, diffs.filter("ball AND nd > 0").select(F.col("sid").alias("a"), F.col("region").alias("b"))
 
 
 def _posted_pairs(diffs: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs of sets of different components by their differences (with roots)."""
     most = F.floor(F.col("n") * (den - num) / num)
-    each = diffs.select("region", "sid", "n", "root", "nd", F.explode("diff").alias("token"))
-    counts = each.groupBy("region", "token").agg(F.count("*").alias("seen"))
-    ordered = F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("tokens")
-    sorted_ = each.join(counts, ["region", "token"]).groupBy("region", "sid", "n", "root", "nd").agg(ordered)
-    posted = sorted_.select("region", "sid", "n", "root", "nd", F.posexplode("tokens").alias("pos", "x")).filter(F.col("pos") <= most)
-    posted = materialise(posted.filter("x.seen > 1").select("region", F.col("x.token").alias("token"), "sid", "root", "n", "nd", "pos"), "posted")
+    columns = ["sid", "root", "n", "nd", "pos", "home"]
+    posted = diffs.select("region", "sid", "root", "n", "nd", "home", F.posexplode("posted").alias("pos", "token"))
+    posted = materialise(posted.select("region", "token", *columns), "posted")
     parts = _parted(posted, ["region", "token"], F.col("pos") * 2 <= most)
     # no shared element is needed where both differences together are t at most
-    core = diffs.filter(F.col("nd") <= most).select("region", "sid", "root", "n", "nd", F.col("nd").alias("pos"), "ball")
+    core = diffs.filter(F.col("nd") <= most).withColumn("pos", F.col("nd")).select("region", *columns, "ball")
     parts = parts.union(_parted(core, ["region"], ~F.col("ball")))
     dealt = parts.repartition("part").sortWithinPartitions("part", F.desc("lead"))
     return materialise(dealt.mapInArrow(_lead_pairs(num, den), "a long, b long").distinct(), "pairs")
 
 
-def _pivots(one: DataFrame, reps: DataFrame, width: int):
-    """The pivots' table and names, on all executors."""
+def _pivots(one: DataFrame, reps: DataFrame, width: int, r: float):
+    """The pivots' table, names, sets and radii, on all executors."""
     spark = one.sparkSession
     drawn = reps.filter(F.col("n").between(1, PIVOT_SIZE)).orderBy(F.xxhash64("sid", F.lit(7)), "sid").limit(PIVOTS).select("uid")
     found = shingles.mapped(one.join(F.broadcast(drawn), "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
     rows = found.dropDuplicates(["sid"]).orderBy(F.xxhash64("sid", F.lit(7)), "sid").toPandas()
     sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows["h"]]
-    taken = separated(sets) if sets else []
+    taken, radii = chosen(sets, r)
     sets = [sets[i] for i in taken]
-    return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy(np.int64)[taken], sets))
+    return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy(np.int64)[taken], sets, radii))
 
 
 def links(
@@ -426,7 +472,7 @@ def links(
         first = confirmed(asked, sets)
         discard(sets)
         known_roots = materialise(connected_components(first, "a", "b"), "roots")
-    pivots = _pivots(one, reps, width)
+    pivots = _pivots(one, reps, width, 1 - num / den)
     seen = shingles.mapped(one, shingles.sampled(width), "token long").groupBy("token").count()
     top = seen.filter(F.col("count") >= shingles.COMMON).orderBy(F.desc("count"), "token").limit(shingles.MAX_COMMON).toPandas()
     top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
@@ -455,7 +501,7 @@ def links(
     if first is not None:
         found = found.union(first)
     if large.take(1):
-        diffs, ball = _around_pivots(large.filter("by_pivot"), sets, pivots, num, den)
+        diffs, ball = _around_pivots(large.filter("by_pivot"), sets, pivots, common, num, den)
         found = materialise(found.union(ball).union(_sub_pivots(large, sets, num, den)).distinct(), "found")
         roots = materialise(connected_components(found, "a", "b"), "roots")
         rooted = materialise(_rooted(diffs, roots), "rooted")

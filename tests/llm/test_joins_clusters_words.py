@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from stepwell.llm import annulus, jaccard_join, spelling
+from stepwell.llm import annulus, common, jaccard_join, spelling
 from stepwell.llm.queries import QUERIES
 from test_contracts import ROWS
 
@@ -69,6 +69,26 @@ def test_op11_large_regions(spark, pivots, monkeypatch):
     assert joined(jaccard_join.join_components(documents(spark, rows))) == sorted(((d, n, c) for d, (n, c) in want.items()), key=repr)
 
 
+def test_op11_near_copies_meet_few_pivots(spark, monkeypatch):
+    """What is made for a group of near copies grows with its sets, not with the pivots drawn from it."""
+    rng = random.Random(3)
+    texts = []
+    for i in range(240):
+        words = [f"w{k}" for k in range(150)]
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(150)] = f"new{rng.random()}"
+        texts.append(" ".join(words))
+    made = {}
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, label: made.setdefault(label, []).append(out := common.materialise(df, label)) or out)
+    rows = list(enumerate(texts))
+    want = brute.jaccard_components(rows)
+    assert joined(jaccard_join.join_components(documents(spark, rows))) == sorted(((d, n, c) for d, (n, c) in want.items()), key=repr)
+    assert made["rows"][0].filter("d > 0").count() <= jaccard_join.CROWD * len(texts)
+    posted, pairs = made["posted"][0], made["pairs"][1]
+    assert 0 < posted.count() <= 17 * len(texts)  # linked sets of 148 shingles differ by 16
+    assert pairs.count() <= 10 * len(texts)
+
+
 def test_op11_null_ids(spark):
     text = near_group(1)[0]
     rows = [(None, text), (7, text), (None, "a b c d"), (3, text + " w w")]
