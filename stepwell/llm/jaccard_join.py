@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm import shingles
+from stepwell.llm import shingles, textbuf
 from stepwell.llm.common import MAX_KEYS, checked_broadcast, discard, documents, materialise
 from stepwell.llm.components import connected_components
 
@@ -427,11 +427,33 @@ def _pivots(one: DataFrame, reps: DataFrame, width: int, r: float):
     spark = one.sparkSession
     drawn = reps.filter(F.col("n").between(1, PIVOT_SIZE)).orderBy(F.xxhash64("sid", F.lit(7)), "sid").limit(PIVOTS).select("uid")
     found = shingles.mapped(one.join(F.broadcast(drawn), "uid", "left_semi"), shingles.whole(width), "sid long, h array<long>")
-    rows = found.dropDuplicates(["sid"]).orderBy(F.xxhash64("sid", F.lit(7)), "sid").toPandas()
-    sets = [np.asarray(h, np.int64).view(np.uint64) for h in rows["h"]]
+    rows = found.dropDuplicates(["sid"]).orderBy(F.xxhash64("sid", F.lit(7)), "sid").toArrow()  # no Python object for a shingle
+    sets = [h.values.to_numpy().view(np.uint64) for h in rows["h"]]
     taken, radii = chosen(sets, r)
-    sets = [sets[i] for i in taken]
-    return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy(np.int64)[taken], sets, radii))
+    sets = [sets[i].copy() for i in taken]
+    return spark.sparkContext.broadcast((Table(sets), rows["sid"].to_numpy()[taken], sets, radii))
+
+
+def _common(one: DataFrame, width: int):
+    """Sorted shingles that are common in the sample, and their counts, on all executors."""
+    seen = shingles.mapped(one, shingles.sampled(width), "token long").groupBy("token").count()
+    top = seen.filter(F.col("count") >= shingles.COMMON).orderBy(F.desc("count"), "token").limit(shingles.MAX_COMMON).toArrow()
+    tokens = top["token"].to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    return one.sparkSession.sparkContext.broadcast((tokens[order], top["count"].to_numpy()[order]))
+
+
+def _of_distinct(docs: DataFrame, known: DataFrame, reps: DataFrame) -> DataFrame:
+    """Documents without copies, where that costs no shuffle of texts: a copy makes the same rows again.
+
+    The fewer keys are broadcast: those that stay, or those that go (copies and wordless texts).
+    """
+    stay = reps.select("uid")
+    go = materialise(known.select("uid").distinct().join(stay, "uid", "left_anti"), "copies")
+    n, m = go.count(), stay.count()
+    if min(n, m) > MAX_KEYS:
+        return docs
+    return docs.join(F.broadcast(go), "uid", "left_anti") if n <= m else docs.join(F.broadcast(stay), "uid", "left_semi")
 
 
 def links(
@@ -450,8 +472,7 @@ def links(
     firsts = [F.min("doc_id").alias("least"), F.min("uid").alias("uid"), F.first("n").alias("n")]
     reps = known.filter("n > 0").groupBy("sid").agg(*firsts, F.first("sketch").alias("sketch"))
     reps = materialise(reps, "reps")
-    # copies are left out where that costs no shuffle of texts; they make the same rows again
-    one = docs.join(F.broadcast(reps.select("uid")), "uid", "left_semi") if reps.count() <= MAX_KEYS else docs
+    one = _of_distinct(docs, known, reps)
 
     def whole(pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
         need = pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))
@@ -473,10 +494,8 @@ def links(
         discard(sets)
         known_roots = materialise(connected_components(first, "a", "b"), "roots")
     pivots = _pivots(one, reps, width, 1 - num / den)
-    seen = shingles.mapped(one, shingles.sampled(width), "token long").groupBy("token").count()
-    top = seen.filter(F.col("count") >= shingles.COMMON).orderBy(F.desc("count"), "token").limit(shingles.MAX_COMMON).toPandas()
-    top = top.assign(token=top["token"].to_numpy(np.int64).view(np.uint64)).sort_values("token")
-    common = spark.sparkContext.broadcast((top["token"].to_numpy(np.uint64), top["count"].to_numpy(np.int64)))
+    common = _common(one, width)
+    textbuf.release()  # on the driver too
     schema = "region long, sid long, n int, pos int, d double, home boolean"
     placed = materialise(shingles.mapped(one, _regions(width, pivots, common, num, den), schema), "placed")
     rooted = placed.withColumn("root", F.col("sid")) if first is None else materialise(_rooted(placed, known_roots), "rooted")

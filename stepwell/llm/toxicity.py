@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,11 +178,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
                 ["uid", "words", *CHAIN],
             )
 
-    got = rows.mapInArrow(run, "uid long, words array<int>, low_quality int, toxic int").toPandas()
-    got = got.sort_values(["uid", *CHAIN]).reset_index(drop=True)
-    n = got["words"].map(len).to_numpy(np.int64) if len(got) else np.zeros(0, np.int64)
-    word = np.concatenate(got["words"].to_list()) if len(got) else np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(got)), n), word.astype(np.int64), got[list(CHAIN)].to_numpy()
+    got = rows.mapInArrow(run, "uid long, words array<int>, low_quality int, toxic int").toArrow()  # no Python object for a word
+    got = got.sort_by([(c, "ascending") for c in ("uid", *CHAIN)]).combine_chunks()
+    n = pc.list_value_length(got["words"]).to_numpy()
+    word = pc.list_flatten(got["words"]).to_numpy()
+    return np.repeat(np.arange(len(got), dtype=np.int32), n), word, np.column_stack([got[c].to_numpy() for c in CHAIN])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Linear]:
+    """The chain of `fit_chain`, fitted on `labelled_sample`; none without labels."""
+    row, word, y = labelled_sample(docs, labels, sample)
+    chain = fit_chain(row, word, y) if len(y) else []
+    del row, word, y
+    textbuf.release()  # the driver keeps none of the sample
+    return chain
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
@@ -192,8 +202,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, samp
     none, all probabilities are 0.  Whole texts are scored; null is the empty text; repeated
     rows, null ids and extra columns are fine; tables may be empty.
     """
-    row, word, y = labelled_sample(docs, labels, sample)
-    chain = fit_chain(row, word, y) if len(y) else []
+    chain = fitted(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +230,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Null texts are empty ones; repeated rows are judged alike; null ids are never labelled;
     without labels, or with an empty table, all rows stay.
     """
-    row, word, y = labelled_sample(docs, labels, options.get("sample", SAMPLE))
-    chain = fit_chain(row, word, y) if len(y) else []
+    chain = fitted(docs, labels, options.get("sample", SAMPLE))
     threshold = options.get("threshold", THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,3 +93,19 @@ def test_near_copy_stage_goes_by_fingerprints(spark, monkeypatch):
     roots = {r.node: r.root for r in next(df for label, df in asked if label == "roots").collect()}
     pairs = next(df for label, df in asked if label == "pairs").collect()
     assert pairs and all(roots.get(r.a, r.a) != roots.get(r.b, r.b) for r in pairs)
+
+
+def test_fewer_keys_are_broadcast_and_samples_come_as_arrow(spark, monkeypatch):
+    """Of 40 texts and 3 copies 3 keys go out, not 40; the driver makes no Python object of a shingle."""
+    rows = [(i, " ".join(f"t{i % 40}w{k}" for k in range(8))) for i in range(43)]
+    monkeypatch.setattr(jaccard_join, "MAX_KEYS", 10)
+    monkeypatch.setattr(type(spark.range(0)), "toPandas", lambda self: pytest.fail("rows become Python objects"))
+    asked = []
+
+    def ahead(one, reps):
+        asked.append(one.count())
+        return reps.select("sid", "sid").toDF("a", "b").filter("a <> b")
+
+    found = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), width=5, jaccard=(4, 5), ahead=ahead)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {i: i % 40 for i in range(43)}
+    assert asked == [40]
