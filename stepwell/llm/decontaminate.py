@@ -67,10 +67,15 @@ def find_hits(
     size = F.octet_length("gram") + F.octet_length("item") + 64
     lengths = sorted(r.m for r in grams.select("m").distinct().collect())  # at most n values
     small = (grams.agg(F.sum(size)).first()[0] or 0) <= MAX_BROADCAST
-    base = documents(docs, id_col, text_col).select("doc_id", "uid", words(F.col("text")).alias("w"))
+    base = documents(docs, id_col, text_col)
     return _by_broadcast(base, grams, lengths) if small or not lengths else _by_shuffle(base, grams, lengths)
 
 
+def _cut(base: DataFrame, *more: str) -> DataFrame:
+    """The documents as words; no sort should hold these, which take several times the room of the text."""
+    return base.select("doc_id", "uid", words(F.col("text")).alias("w"), *more)
+
+
 def _probe(grams: DataFrame, lengths: list[int]) -> DataFrame:
     """The n-grams with the keys of their words."""
     key = F.lit(None).cast("long")
@@ -82,7 +87,7 @@ def _probe(grams: DataFrame, lengths: list[int]) -> DataFrame:
 def _by_broadcast(base: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
     texts = grams.groupBy("m", "gram").agg(F.collect_set("item").alias("owners"))
     probe = F.broadcast(_probe(texts, lengths))
-    windows = base.select("doc_id", "uid", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("i"))
+    windows = _cut(base).select("doc_id", "uid", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("i"))
     keys = [F.when((F.col("i") >= 0) & (F.col("i") + m <= F.size("w")), _key(m)) for m in lengths]
     if len(keys) > 1:
         windows = windows.select("doc_id", "uid", "w", "i", F.explode(F.array(*keys)).alias("key"))
@@ -90,14 +95,15 @@ def _by_broadcast(base: DataFrame, grams: DataFrame, lengths: list[int]) -> Data
         windows = windows.withColumn("key", keys[0] if keys else F.lit(None).cast("long"))
     same = F.expr("key = probe_key AND gram = array_join(slice(w, i + 1, length), ' ')")
     found = windows.join(probe, same, "left").filter("length IS NOT NULL OR i < 0")
-    span = F.when(F.col("i") >= 0, F.struct(F.col("i").alias("start"), "length"))
-    first = F.col("i") < 0
+    span = F.when(F.col("i") >= 0, F.struct(F.col("i").alias("start"), "length")).alias("span")
+    # the aggregate sorts its rows beyond a few groups, so no words go there
+    found = found.select("doc_id", "uid", F.when(F.col("i") < 0, F.size("w")).alias("size"), span, "owners")
     return (
         found.groupBy("doc_id", "uid")
         .agg(
-            F.max(F.when(first, F.size("w"))).cast("long").alias("n_words"),
-            (F.sum(F.when(first, 1).otherwise(0)) / F.lit(max(1, len(keys)))).cast("int").alias("n_rows"),
-            F.array_sort(F.collect_set(span)).alias("spans"),
+            F.max("size").cast("long").alias("n_words"),
+            (F.count("size") / F.lit(max(1, len(keys)))).cast("int").alias("n_rows"),
+            F.array_sort(F.collect_set("span")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"),
         )
         .select("doc_id", "uid", "n_rows", "n_words", "spans", "items")
@@ -108,19 +114,19 @@ def _by_shuffle(base: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFr
     """Keys without words meet first; candidates are confirmed on their words, and only then named."""
     probe = materialise(_probe(grams.select("m", "gram").distinct(), lengths), "probe")
     keys = F.array(*[F.when(F.col("i") + m <= F.size("w"), F.struct(F.lit(m).alias("length"), _key(m).alias("key"))) for m in lengths])
-    windows = base.filter(F.size("w") > 0).select("uid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    windows = _cut(base).filter(F.size("w") > 0).select("uid", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     windows = windows.select("uid", "i", F.explode(keys).alias("x")).filter("x IS NOT NULL").select("uid", "i", "x.*")
     known = probe.select(F.col("probe_key").alias("key"), "length").distinct()
     found = materialise(windows.join(materialise(known, "keys"), ["key", "length"]).select("uid", "i", "length"), "candidates")
     places = materialise(found.groupBy("uid").agg(F.collect_set(F.struct("i", "length")).alias("at")), "places")
     said = lambda x: F.array_join(F.slice("w", x["i"] + 1, x["length"]), " ")
     at = F.transform("at", lambda x: F.struct(x["i"].alias("i"), x["length"].alias("length"), said(x).alias("gram")))
-    texts = base.join(places, "uid").select("uid", F.explode(at).alias("x")).select("uid", "x.*")
+    texts = _cut(base.join(places, "uid"), "at").select("uid", F.explode(at).alias("x")).select("uid", "x.*")
     sure = materialise(texts.join(probe.select("length", "gram"), ["length", "gram"]).distinct(), "confirmed")
     spans = sure.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(F.col("i").alias("start"), "length"))).alias("spans"))
     named = sure.select("uid", "length", "gram").distinct().join(grams.withColumnRenamed("m", "length"), ["length", "gram"])
     items = named.select("uid", "item").distinct().groupBy("uid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    counts = base.groupBy("doc_id", "uid").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").cast("int").alias("n_rows"))
+    counts = _cut(base).groupBy("doc_id", "uid").agg(F.max(F.size("w")).cast("long").alias("n_words"), F.count("*").cast("int").alias("n_rows"))
     out = counts.join(spans, "uid", "left").join(items, "uid", "left")
     none = F.array().cast(spans.schema["spans"].dataType)
     return out.select(
